@@ -76,11 +76,21 @@ def read_csv(spark: SparkSession, spec: CsvSpec) -> DataFrame:
         mode="PERMISSIVE",
         columnNameOfCorruptRecord=CORRUPT,
         enforceSchema=False,
+        # An unquoted empty field is NULL and a quoted one is an empty text; this marker keeps them apart.
+        nullValue="\u0001",
     )
 
 
 def good_rows(df: DataFrame) -> DataFrame:
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """Rows with as many fields as the header.
+
+    The second condition always holds. It keeps a data column in the scan, as
+    Spark refuses a CSV query, such as a count, that needs the corrupt-record
+    column alone.
+    """
+    first = next(c for c in df.columns if c != CORRUPT)
+    whole = F.col(CORRUPT).isNull() & (F.coalesce(F.length(F.col(f"`{first}`")), F.lit(0)) >= 0)
+    return df.filter(whole).drop(CORRUPT)
 
 
 def quarantine(df: DataFrame) -> DataFrame:
