@@ -7,7 +7,7 @@ import argparse
 from episodica.operators.features import feature_summary
 from episodica.operators.target import target_summary
 from episodica.plans.build import build_from_csv
-from episodica.session import build_session
+from episodica.session import build_session, sized_for
 
 
 def main() -> None:
@@ -15,8 +15,11 @@ def main() -> None:
     parser.add_argument("raw_dir", help="folder with the six CSV extracts")
     parser.add_argument("out_dir", help="folder for the Parquet tables")
     parser.add_argument("--sep", default=",", help="field separator of the extracts")
+    parser.add_argument("--input-gb", type=float, default=0.0, help="size of the extracts, to plan the shuffles")
+    parser.add_argument("--cores", type=int, default=0, help="cores of the cluster, to plan the shuffles")
     args = parser.parse_args()
-    built = build_from_csv(build_session(), args.raw_dir, args.out_dir, sep=args.sep)
+    conf = sized_for(int(args.input_gb * 1e9), args.cores) if args.input_gb or args.cores else {}
+    built = build_from_csv(build_session(**conf), args.raw_dir, args.out_dir, sep=args.sep)
     target_summary(built.target).show()
     feature_summary(built.features).show()
 

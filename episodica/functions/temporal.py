@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_TEXT_TIME = r"^\s*\d{1,2}/\d{1,2}/\d{1,4}\s+\d{1,2}:\d{1,2}:[0-5]?\d\s*$"
+_FULL_WIDTH = r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$"
+_TEXT_TIME = r"^\s*(\d{1,2})/(\d{1,2})/(\d{1,4})\s+(\d{1,2}:\d{1,2}:\d{1,2})\s*$"
 
 
 def _col(c: Column | str) -> Column:
@@ -12,15 +13,22 @@ def _col(c: Column | str) -> Column:
 
 
 def parse_day_first(text: Column | str) -> Column:
-    """``d/M/y H:m:s`` text to TIMESTAMP_NTZ; anything else, or an impossible date, is NULL."""
-    text = _col(text)
-    parts = F.split(F.trim(text), r"[/:\s]+")
-
-    def number(i: int) -> Column:
-        return F.get(parts, F.lit(i)).try_cast("int")
+    """``d/M/y H:m:s`` text to TIMESTAMP_NTZ; anything else, or an impossible date, is NULL.
 
-    parsed = F.try_make_timestamp_ntz(number(2), number(1), number(0), number(3), number(4), number(5))
-    return F.when(text.rlike(_TEXT_TIME), parsed)
+    Texts of the usual full width are cut by position, others are rewritten to
+    ISO order; both are then cast. Every use of the text is one short call, so
+    the generated code stays small enough for the JIT.
+    """
+    text = _col(text)
+    iso = F.concat(
+        F.substring(text, 7, 4), F.lit("-"), F.substring(text, 4, 2), F.lit("-"), F.substring(text, 1, 2),
+        F.substring(text, 11, 9),
+    )
+    # Short years are padded: two digits are a year of the first century, as four digits with zeros are.
+    padded = F.regexp_replace(text, r"/(\d)\s", "/0$1 ")
+    reordered = F.regexp_replace(padded, _TEXT_TIME, "00$3-$2-$1 $4")
+    loose = F.when(text.rlike(_TEXT_TIME), reordered)
+    return F.when(text.rlike(_FULL_WIDTH), iso).otherwise(loose).try_cast("timestamp_ntz")
 
 
 def format_day_first(ts: Column | str) -> Column:

@@ -39,14 +39,32 @@ ACUTE_ICD_PATTERN = (
 ACUTE_OBSTETRIC_RANGES = ((0, 8), (10, 29), (42, 46), (60, 75), (85, 99))
 DELIVERY_ICD_PREFIXES = ("O80", "O82")
 
-# Procedure texts that signal an acute event, and those of routine care.
-ACUTE_PROCEDURE_PATTERN = (
-    "INTERCORR|COMPLICA|ATENDIMENTO DE URGENC|SINDROME CORONARIANA AGUDA"
-    "|INSUFICIENCIA RENAL AGUDA|CRISES EPILEPTICAS|PNEUMON|PIELONEFR|SEPSE"
-    "|ACIDENTE VASCULAR CEREBRAL|INFART|HEMORR|INFECC"
+# Procedure texts that signal an acute event, and those of routine care, by fragment.
+ACUTE_PROCEDURES = (
+    "INTERCORR",
+    "COMPLICA",
+    "ATENDIMENTO DE URGENC",
+    "SINDROME CORONARIANA AGUDA",
+    "INSUFICIENCIA RENAL AGUDA",
+    "CRISES EPILEPTICAS",
+    "PNEUMON",
+    "PIELONEFR",
+    "SEPSE",
+    "ACIDENTE VASCULAR CEREBRAL",
+    "INFART",
+    "HEMORR",
+    "INFECC",
 )
-ROUTINE_PROCEDURE_PATTERN = (
-    "PARTO|CESARI|QUIMIOTERAP|RADIOTERAP|ANTINEOPLAS|HEMODIAL|DI[AÁ]LISE|REABILIT"
+ROUTINE_PROCEDURES = (
+    "PARTO",
+    "CESARI",
+    "QUIMIOTERAP",
+    "RADIOTERAP",
+    "ANTINEOPLAS",
+    "HEMODIAL",
+    "DIALISE",
+    "DIÁLISE",
+    "REABILIT",
 )
 TRANSPLANT = "TRANSPLANTE DE"
 POST_TRANSPLANT = ("POS-TRANSPLANTE", "PÓS-TRANSPLANTE")

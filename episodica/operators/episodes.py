@@ -49,13 +49,15 @@ def parse_discharge(text: Column | str) -> Column:
 
 def with_admission_time(df: DataFrame, cfg: EpisodeConfig = EpisodeConfig(), name: str = S.ADMISSION) -> DataFrame:
     """Add the admission time: an override by (subject, text) first, then year shifts, else as parsed."""
-    parsed = parse_day_first(S.ADMISSION_TEXT)
+    # A column of its own, so that the text is parsed once however often the rules look at it.
+    df = df.withColumn("__parsed", parse_day_first(S.ADMISSION_TEXT))
+    parsed = F.col("__parsed")
     shifted = F
     for year, years in cfg.year_shifts:
         shifted = shifted.when(F.year(parsed) == year, add_years(parsed, years))
     shifted = shifted.otherwise(parsed) if cfg.year_shifts else parsed
     if not cfg.overrides:
-        return df.withColumn(name, shifted)
+        return df.withColumn(name, shifted).drop("__parsed")
     table = df.sparkSession.createDataFrame(
         list(cfg.overrides), f"`__id` string, `__text` string, `__time` string"
     ).select("__id", "__text", F.col("__time").cast("timestamp_ntz").alias("__time"))
@@ -65,7 +67,7 @@ def with_admission_time(df: DataFrame, cfg: EpisodeConfig = EpisodeConfig(), nam
     return (
         df.join(table, hit, "left")
         .withColumn(name, F.coalesce(F.col("__time"), shifted))
-        .drop("__id", "__text", "__time")
+        .drop("__id", "__text", "__time", "__parsed")
     )
 
 

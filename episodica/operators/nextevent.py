@@ -50,8 +50,9 @@ def next_event(
         matched = _match(line, by, flags)
         if sliced:
             matched = _carry_over(matched, key)
+        own = {key: F.col(key), end: F.col("__t")}
         return matched.filter(F.col("__kind") == _QUERY).select(
-            "__row.*",
+            *[own.get(c, F.col(f"__row.{c}")).alias(c) for c in episodes.columns],
             F.col("__next.start").alias(next_start),
             *[F.col(f"__next.{source}").alias(name) for source, name in carry.items()],
             *[F.coalesce(F.col(f"__next.{flag}"), F.lit(0)).alias(flag) for flag in flags],
@@ -91,7 +92,8 @@ def _timeline(
         key,
         F.col(end).alias("__t"),
         F.lit(_QUERY).alias("__kind"),
-        F.struct(*episodes.columns).alias("__row"),
+        # Key and end travel as the timeline's own columns.
+        F.struct(*[c for c in episodes.columns if c not in (key, end)]).alias("__row"),
     )
     events = episodes.filter(F.col(key).isNotNull() & F.col(start).isNotNull()).select(
         key,
@@ -102,7 +104,8 @@ def _timeline(
     )
     line = queries.unionByName(events, allowMissingColumns=True)
     if signals is not None:
-        marks = signals.filter(F.col(key).isNotNull() & F.col(start).isNotNull()).select(
+        # Signals without a time sort behind everything and meet no event.
+        marks = signals.filter(F.col(key).isNotNull()).select(
             key,
             F.col(start).alias("__t"),
             F.lit(_SIGNAL).alias("__kind"),
@@ -119,15 +122,15 @@ def _match(line: DataFrame, by: Sequence[str], flags: Sequence[str]) -> DataFram
         .orderBy(F.col("__t").desc(), F.col("__kind").asc(), F.col("__tie").desc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    event: Column = F.col("__event")
     if flags:
         # A signal stands right before the events of its instant, so the last one seen is theirs or none is.
-        line = line.withColumn("__seen", F.last("__signal", ignorenulls=True).over(earlier_rows))
-        for flag in flags:
-            at_event = F.when(F.col("__seen.at") == F.col("__t"), F.col(f"__seen.{flag}"))
-            event = event.withField(flag, at_event)
-        event = F.when(F.col("__kind") == _EVENT, event)
-        line = line.withColumn("__event", event).drop("__seen", "__signal")
+        seen = F.last("__signal", ignorenulls=True).over(earlier_rows)
+        line = line.withColumn("__seen", F.when(seen["at"] == F.col("__t"), seen))
+        fields = [f.name for f in line.schema["__event"].dataType.fields]
+        flagged = F.struct(
+            *[F.col(f"__event.{f}").alias(f) for f in fields], *[F.col(f"__seen.{f}").alias(f) for f in flags]
+        )
+        line = line.withColumn("__event", F.when(F.col("__kind") == _EVENT, flagged))
     return line.withColumn("__next", F.last("__event", ignorenulls=True).over(earlier_rows))
 
 

@@ -58,21 +58,23 @@ def _folded(text: Column, cfg: EpisodeConfig) -> Column:
 def procedure_flags(rows: DataFrame, cfg: EpisodeConfig = EpisodeConfig()) -> DataFrame:
     """Which rule texts occur, per (subject, admission time).
 
-    The rules only ask whether a text occurs in any procedure, and no pattern
+    The rules only ask whether a text occurs in any procedure, and no fragment
     spans two procedures, so flags per row and their maximum say the same as
-    the joined text. Rows without any flag, most of them, are not shuffled.
+    the joined text. Rows without any rule text are dropped by one pattern
+    before the shuffle. A row whose time does not parse keeps a NULL time and
+    matches nothing; a filter on the time would be pushed below and parse twice.
     """
     text = _folded(F.col("procedure"), cfg)
-    tests = {
-        "acute_procedure": text.rlike(V.ACUTE_PROCEDURE_PATTERN),
-        "routine_procedure": text.rlike(V.ROUTINE_PROCEDURE_PATTERN),
-        "transplant": text.contains(V.TRANSPLANT),
-        "post_transplant": contains_any(text, V.POST_TRANSPLANT),
+    fragments = {
+        "acute_procedure": V.ACUTE_PROCEDURES,
+        "routine_procedure": V.ROUTINE_PROCEDURES,
+        "transplant": (V.TRANSPLANT,),
+        "post_transplant": V.POST_TRANSPLANT,
     }
-    flagged = rows.select(S.ID, S.ADMISSION, *[F.coalesce(t, F.lit(False)).cast("int").alias(n) for n, t in tests.items()])
+    mentioned = [f for group in fragments.values() for f in group]
     return (
-        flagged.filter(any_of(F.col(n) == 1 for n in FLAGS))
-        .filter(F.col(S.ADMISSION).isNotNull() & F.col(S.ID).isNotNull())
+        rows.filter(F.col(S.ID).isNotNull() & text.rlike("|".join(mentioned)))
+        .select(S.ID, S.ADMISSION, *[text.rlike("|".join(group)).cast("int").alias(n) for n, group in fragments.items()])
         .groupBy(S.ID, S.ADMISSION)
         .agg(*[F.max(n).alias(n) for n in FLAGS])
     )

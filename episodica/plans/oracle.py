@@ -137,9 +137,9 @@ _RELATIONS: dict[str, str] = {
                (regexp_matches(cid, '{V.ACUTE_ICD_PATTERN}') OR coalesce(cid[1] = 'O' AND (
                    {" OR ".join(f"TRY_CAST(cid[2:3] AS INT) BETWEEN {a} AND {b}" for a, b in V.ACUTE_OBSTETRIC_RANGES)}
                ), false))::INT AS acute_cid_signal,
-               regexp_matches(procedures, '{V.ACUTE_PROCEDURE_PATTERN}')::INT AS acute_procedure_signal,
+               regexp_matches(procedures, '{"|".join(V.ACUTE_PROCEDURES)}')::INT AS acute_procedure_signal,
                (cid[1:3] IN {_in(V.DELIVERY_ICD_PREFIXES)}
-                OR regexp_matches(procedures, '{V.ROUTINE_PROCEDURE_PATTERN}')
+                OR regexp_matches(procedures, '{"|".join(V.ROUTINE_PROCEDURES)}')
                 OR (contains(procedures, '{V.TRANSPLANT}') AND NOT {_like_any("procedures", V.POST_TRANSPLANT)})
                ) AS planned_care
         FROM candidates""",
@@ -666,3 +666,21 @@ _SQL: dict[str, str] = {
 
 def all_oracles() -> dict[str, str]:
     return {name: _with(sql) for name, sql in _SQL.items()}
+
+
+def relation_sql(name: str) -> str:
+    """A shared relation over relations that already exist as tables."""
+    return _RELATIONS[name].strip()
+
+
+def relations_for(names: list[str]) -> list[str]:
+    """The relations that must exist before the given ones, and those, in order."""
+    seen: list[str] = []
+    for name in names:
+        _needed(f"FROM {name}", seen)
+    return seen
+
+
+def query_sql(name: str) -> str | None:
+    """A query over stored relations, without its CTEs."""
+    return _SQL.get(name)

@@ -84,7 +84,8 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = (
         table(spark, sf_dir, "lineitem")
-        .join(orders, F.col("l_orderkey") == key)
+        # The two large tables meet by shuffle at any size, which also spreads a small single-file input.
+        .join(orders.hint("merge"), F.col("l_orderkey") == key)
         .join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         .join(provider.select("s_suppkey", "s_name", "provider_city"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(residence.select("c_custkey", "residence"), F.col("o_custkey") == F.col("c_custkey"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -14,6 +16,16 @@ DEFAULTS = {
 }
 
 
+# Shuffle partitions are planned at this size; AQE merges small ones at run time.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def sized_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings that follow from the size of the input and of the cluster."""
+    partitions = max(2 * cores, math.ceil(input_bytes / PARTITION_BYTES))
+    return {"spark.sql.shuffle.partitions": str(partitions)}
+
+
 def build_session(app_name: str = "episodica", master: str | None = None, **conf: str) -> SparkSession:
     """Create or fetch a session. On a cluster leave ``master`` to spark-submit."""
     builder = SparkSession.builder.appName(app_name)

@@ -39,31 +39,34 @@ def column_statistics(df: DataFrame, table: str, approximate: bool = False) -> D
     Rows are unpivoted and counted per (column, value) map-side first, so a
     frequent value costs one row per task.
     """
-    types = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
     pairs = F.array(
         *[
-            F.struct(F.lit(name).alias("column_name"), F.col(f"`{name}`").cast("string").alias("value"))
-            for name in df.columns
+            F.struct(F.lit(i).alias("position"), F.col(f"`{name}`").cast("string").alias("value"))
+            for i, name in enumerate(df.columns)
         ]
     )
     values = df.select(F.inline(pairs))
     if approximate:
-        per_column = values.groupBy("column_name").agg(
+        per_column = values.groupBy("position").agg(
             F.count(F.lit(1)).alias("rows"),
             F.count_if(F.col("value").isNull()).alias("nulls"),
             F.approx_count_distinct("value").alias("distinct_values"),
         )
     else:
-        counted = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-        per_column = counted.groupBy("column_name").agg(
+        counted = values.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+        per_column = counted.groupBy("position").agg(
             F.sum("n").cast("bigint").alias("rows"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("nulls"),
             F.count("value").alias("distinct_values"),
         )
+
+    def at_position(texts: list[str]):
+        return F.get(F.array(*[F.lit(t) for t in texts]), F.col("position"))
+
     return per_column.select(
         F.lit(table).alias("table_name"),
-        "column_name",
-        F.element_at(types, F.col("column_name")).alias("column_type"),
+        at_position(df.columns).alias("column_name"),
+        at_position([kind for _, kind in df.dtypes]).alias("column_type"),
         "rows",
         "nulls",
         "distinct_values",
