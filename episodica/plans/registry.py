@@ -24,7 +24,7 @@ Query = Callable[[Workspace], DataFrame]
 SPLIT_ROWS = 9
 # Report thresholds: smaller than the defaults, so that small inputs fill the tables.
 MIN_EPISODES = 20
-HEATMAP_MIN_EPISODES = 5
+HEATMAP_MIN_EPISODES = 1
 
 KEY = (S.ID, S.ADMISSION_TEXT)
 
