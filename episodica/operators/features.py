@@ -19,14 +19,12 @@ def count_name(days: int) -> str:
     return f"admissions_last_{days}d"
 
 
-def history(
-    target: DataFrame, cfg: EpisodeConfig = EpisodeConfig(), heavy: HeavyKeys | None = None
-) -> DataFrame:
+def history(target: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
     """Row number, previous discharge, previous positives and look-back counts of every episode."""
     base = target.withColumn("__label", F.coalesce(F.col(S.LABEL), F.lit(0)))
     if heavy is None:
         return _plain(base).drop("__label")
-    dense = _sliced(heavy.only(base, S.ID), cfg.slice_days)
+    dense = _sliced(heavy.only(base, S.ID), heavy.slice_days)
     return _plain(heavy.without(base, S.ID)).unionByName(dense).drop("__label")
 
 
@@ -172,7 +170,7 @@ def build_features(
 ) -> DataFrame:
     """The feature table: history over all episodes, then eligible ones only."""
     rows = history(
-        target.select(S.ID, _TEXT, *cfg.attributes, S.ADMISSION, S.DISCHARGE, S.ELIGIBLE, S.LABEL), cfg, heavy
+        target.select(S.ID, _TEXT, *cfg.attributes, S.ADMISSION, S.DISCHARGE, S.ELIGIBLE, S.LABEL), heavy
     )
     return rows.filter(F.col(S.ELIGIBLE) == 1).select(
         S.ID,

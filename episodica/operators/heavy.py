@@ -20,10 +20,16 @@ MAX_BROADCAST_KEYS = 100_000
 UNTIMED_SLICE = 1 << 30
 
 
+# A slice is at most this long, and shorter where the busiest heavy subject would fill it with more rows than this.
+MAX_SLICE_DAYS = 30
+ROWS_PER_SLICE = 2_000_000
+
+
 @dataclass(frozen=True)
 class HeavyKeys:
     keys: DataFrame
     count: int
+    slice_days: int = MAX_SLICE_DAYS
 
     def _side(self, key: str) -> DataFrame:
         side = self.keys.select(F.col(key).alias("__heavy"))
@@ -36,17 +42,27 @@ class HeavyKeys:
         return df.join(self._side(key), F.col(key).eqNullSafe(F.col("__heavy")), "left_anti")
 
 
-def find_heavy_keys(df: DataFrame, key: str, heavy_rows: int) -> HeavyKeys | None:
+def find_heavy_keys(
+    df: DataFrame, key: str, time: str, heavy_rows: int, rows_per_slice: int = ROWS_PER_SLICE
+) -> HeavyKeys | None:
     """Subjects with more than ``heavy_rows`` rows, or None when there is none.
 
-    Reads the key column only, and nothing but the row count when the whole
-    table is below the threshold.
+    Reads the key and time columns only, and nothing but the row count when the
+    whole table is below the threshold.
     """
     if df.count() <= heavy_rows:
         return None
-    keys = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy_rows).select(key)
-    count = keys.count()
-    return HeavyKeys(keys, count) if count else None
+    busy = (
+        df.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last"))
+        .filter(F.col("n") > heavy_rows)
+    )
+    per_day = F.col("n") / (F.coalesce(F.date_diff("last", "first"), F.lit(0)) + 1)
+    found = busy.agg(F.count(F.lit(1)).alias("keys"), F.max(per_day).alias("per_day")).head()
+    if not found["keys"]:
+        return None
+    days = max(1, min(MAX_SLICE_DAYS, int(rows_per_slice / found["per_day"])))
+    return HeavyKeys(busy.select(key), found["keys"], days)
 
 
 def calendar_slice(ts: Column, days: int, untimed_by: Column | None = None) -> Column:

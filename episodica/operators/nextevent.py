@@ -29,7 +29,6 @@ def next_event(
     carry: Mapping[str, str],
     signals: DataFrame | None = None,
     heavy: HeavyKeys | None = None,
-    slice_days: int = 30,
 ) -> DataFrame:
     """Add ``next_start`` and the ``carry`` columns (source name -> new name) of the next event.
 
@@ -45,7 +44,7 @@ def next_event(
         line = _timeline(part, part_signals, key, start, end, tie, carry, flags)
         by = [key]
         if sliced:
-            line = line.withColumn("__slice", calendar_slice(F.col("__t"), slice_days))
+            line = line.withColumn("__slice", calendar_slice(F.col("__t"), heavy.slice_days))
             by = [key, "__slice"]
         matched = _match(line, by, flags)
         if sliced:

@@ -28,7 +28,6 @@ NEXT_COLUMNS = {
 
 def next_episode(
     episodes: DataFrame,
-    cfg: EpisodeConfig = EpisodeConfig(),
     signals: DataFrame | None = None,
     heavy: HeavyKeys | None = None,
 ) -> DataFrame:
@@ -43,7 +42,6 @@ def next_episode(
         carry=NEXT_COLUMNS,
         signals=signals,
         heavy=heavy,
-        slice_days=cfg.slice_days,
     )
 
 
@@ -70,7 +68,7 @@ def with_next(
 ) -> DataFrame:
     """Episodes with next admission, gap, eligibility and the procedure flags of the next admission."""
     rows = raw_procedure_rows(raw, cfg).unionByName(billing_procedure_rows(billing))
-    matched = next_episode(episodes, cfg, procedure_flags(rows, cfg), heavy)
+    matched = next_episode(episodes, procedure_flags(rows, cfg), heavy)
     return matched.withColumn(S.DAYS_NEXT, days_until_next()).withColumn(S.ELIGIBLE, eligible(cfg))
 
 

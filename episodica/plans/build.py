@@ -53,13 +53,13 @@ def build_from_tables(
             hospitalizations,
             billing,
             cfg,
-            find_heavy_keys(episodes, S.ID, cfg.heavy_rows_next),
+            find_heavy_keys(episodes, S.ID, S.ADMISSION, cfg.heavy_rows_next),
             has_duplicate_keys(episodes),
         ),
     )
     check_target(episodes, target, cfg)
     features = store.get(
-        "ml_features", lambda: build_features(target, cfg, find_heavy_keys(target, S.ID, cfg.heavy_rows_history))
+        "ml_features", lambda: build_features(target, cfg, find_heavy_keys(target, S.ID, S.ADMISSION, cfg.heavy_rows_history))
     )
     check_features(target, features)
     return BuildResult({"hospitalizations": hospitalizations, "billing": billing}, episodes, target, features)

@@ -30,7 +30,7 @@ KEY = (S.ID, S.ADMISSION_TEXT)
 
 
 def _split(w: Workspace) -> HeavyKeys | None:
-    return find_heavy_keys(w.episodes, S.ID, SPLIT_ROWS)
+    return find_heavy_keys(w.episodes, S.ID, S.ADMISSION, SPLIT_ROWS, rows_per_slice=1)
 
 
 def _ingest_csv(w: Workspace) -> DataFrame:
@@ -74,7 +74,7 @@ def _classified(w: Workspace) -> DataFrame:
 
 
 def _history(w: Workspace, *columns: str) -> DataFrame:
-    return feat.history(w.target, w.cfg, w.heavy_history).select(*KEY, *columns)
+    return feat.history(w.target, w.heavy_history).select(*KEY, *columns)
 
 
 def _procedure_texts(rows: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def _enriched(w: Workspace) -> DataFrame:
 
 
 def _gap_rows(w: Workspace) -> DataFrame:
-    rows = tgt.next_episode(w.episodes, w.cfg, heavy=w.heavy_next)
+    rows = tgt.next_episode(w.episodes, heavy=w.heavy_next)
     return rows.select(*KEY, tgt.days_until_next().alias(S.DAYS_NEXT))
 
 
@@ -113,10 +113,10 @@ OPERATORS: dict[str, Query] = {
     "parse_admission": lambda w: w.episodes.select(*KEY, parse_day_first(S.ADMISSION_TEXT).alias("parsed_admission_ts")),
     "correct_admission": lambda w: with_admission_time(w.episodes.select(*KEY), w.cfg),
     "parse_discharge": lambda w: w.episodes.select(*KEY, S.DISCHARGE_TEXT, parse_discharge(S.DISCHARGE_TEXT).alias(S.DISCHARGE)),
-    "next_episode": lambda w: tgt.next_episode(w.episodes, w.cfg, heavy=w.heavy_next).select(
+    "next_episode": lambda w: tgt.next_episode(w.episodes, heavy=w.heavy_next).select(
         *KEY, S.ADMISSION, S.DISCHARGE, "next_admission_ts", *tgt.NEXT_COLUMNS.values()
     ),
-    "next_episode_split": lambda w: tgt.next_episode(w.episodes, w.cfg, heavy=_split(w)).select(
+    "next_episode_split": lambda w: tgt.next_episode(w.episodes, heavy=_split(w)).select(
         *KEY, S.ADMISSION, S.DISCHARGE, "next_admission_ts", *tgt.NEXT_COLUMNS.values()
     ),
     "days_until_next": _gap_rows,
@@ -137,15 +137,15 @@ OPERATORS: dict[str, Query] = {
     "feature_summary": lambda w: feat.feature_summary(w.features),
     # windows
     "previous_hospitalizations": lambda w: _history(w, "previous_hospitalizations"),
-    "days_since_previous": lambda w: feat.history(w.target, w.cfg, w.heavy_history).select(
+    "days_since_previous": lambda w: feat.history(w.target, w.heavy_history).select(
         *KEY, days_between("previous_discharge_ts", S.ADMISSION).alias("days_since_previous_hospitalization")
     ),
     "previous_unplanned": lambda w: _history(w, "previous_unplanned_readmissions"),
     "admissions_last_30d": lambda w: _history(w, "admissions_last_30d"),
     "admissions_last_90d": lambda w: _history(w, "admissions_last_90d"),
     "admissions_last_365d": lambda w: _history(w, "admissions_last_365d"),
-    "lead_next": lambda w: overlaps.lead_next(w.target, w.heavy_next, w.cfg.slice_days),
-    "lead_next_split": lambda w: overlaps.lead_next(w.target, _split(w), w.cfg.slice_days),
+    "lead_next": lambda w: overlaps.lead_next(w.target, w.heavy_next),
+    "lead_next_split": lambda w: overlaps.lead_next(w.target, _split(w)),
     "share_of_total": lambda w: reports.share_of_total(w.target, ["especialidade"], "episodes"),
     "share_within_group": lambda w: reports.share_within(
         w.target, F.col("especialidade"), F.col("motivoalta"), ("especialidade", "motivoalta"), "episodes", "percentage"

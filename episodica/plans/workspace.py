@@ -49,11 +49,11 @@ class Workspace:
 
     @cached_property
     def heavy_next(self) -> HeavyKeys | None:
-        return find_heavy_keys(self.episodes, S.ID, self.cfg.heavy_rows_next)
+        return find_heavy_keys(self.episodes, S.ID, S.ADMISSION, self.cfg.heavy_rows_next)
 
     @cached_property
     def heavy_history(self) -> HeavyKeys | None:
-        return find_heavy_keys(self.episodes, S.ID, self.cfg.heavy_rows_history)
+        return find_heavy_keys(self.episodes, S.ID, S.ADMISSION, self.cfg.heavy_rows_history)
 
     @cached_property
     def duplicate_keys(self) -> bool:

@@ -103,5 +103,4 @@ class EpisodeConfig:
     # A subject with more rows than this is split by calendar slice.
     heavy_rows_next: int = 1_000_000
     heavy_rows_history: int = 20_000
-    slice_days: int = 30
     attributes: tuple[str, ...] = field(default=ATTRIBUTES)

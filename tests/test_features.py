@@ -55,7 +55,7 @@ NAMES = (
 def test_history_equals_brute_force_plain_and_split(spark, make, seed):
     target = with_labels(random_episodes(make, seed)).cache()
     expected = brute_force_history(target.collect())
-    for heavy in (None, find_heavy_keys(target, S.ID, 60), find_heavy_keys(target, S.ID, 5)):
+    for heavy in (None, find_heavy_keys(target, S.ID, S.ADMISSION, 60), find_heavy_keys(target, S.ID, S.ADMISSION, 5)):
         found = {r[S.ADMISSION_TEXT]: tuple(r[n] for n in NAMES) for r in history(target, heavy=heavy).collect()}
         assert found == expected
 
@@ -64,7 +64,7 @@ def test_lead_equals_brute_force_plain_and_split(spark, make):
     target = with_labels(random_episodes(make, 5)).cache()
     plain = {r[S.ADMISSION_TEXT]: r for r in overlaps.lead_next(target).collect()}
     for rows in (60, 5):
-        split = {r[S.ADMISSION_TEXT]: r for r in overlaps.lead_next(target, find_heavy_keys(target, S.ID, rows)).collect()}
+        split = {r[S.ADMISSION_TEXT]: r for r in overlaps.lead_next(target, find_heavy_keys(target, S.ID, S.ADMISSION, rows)).collect()}
         assert split == plain
     counts = brute_force_history(target.collect())
     by_place = {}
@@ -84,7 +84,7 @@ def test_history_plan_sorts_once(spark, make):
 
 def test_split_plan_keeps_heavy_subject_out_of_one_window(spark, make):
     target = with_labels(random_episodes(make, 1))
-    heavy = find_heavy_keys(target, S.ID, 60)
+    heavy = find_heavy_keys(target, S.ID, S.ADMISSION, 60)
     plan = build_features(target, heavy=heavy)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 

@@ -134,7 +134,7 @@ def brute_force_next(rows):
 def test_next_equals_brute_force_plain_and_split(spark, make, seed):
     episodes = random_episodes(make, seed).cache()
     expected = brute_force_next(episodes.collect())
-    for heavy in (None, find_heavy_keys(episodes, S.ID, 60), find_heavy_keys(episodes, S.ID, 5)):
+    for heavy in (None, find_heavy_keys(episodes, S.ID, S.ADMISSION, 60), find_heavy_keys(episodes, S.ID, S.ADMISSION, 5)):
         found = {
             r[S.ADMISSION_TEXT]: (r["next_admission_ts"], r["next_executante"])
             for r in next_episode(episodes, heavy=heavy).collect()
