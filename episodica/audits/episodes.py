@@ -128,10 +128,11 @@ def zero_gap_by_reason(target: DataFrame) -> DataFrame:
 def zero_day_hospitals(raw: DataFrame, target: DataFrame, k: int = 20) -> DataFrame:
     """Hospitals of subjects that came back on the day of discharge.
 
-    Raw rows are counted per (subject, hospital) before the semi join, so a
-    subject with very many rows joins with as many rows as it has hospitals.
+    Raw rows are counted per (subject, hospital) and subjects made distinct
+    before the semi join, so a subject with very many rows joins with as many
+    rows as it has hospitals.
     """
-    back = target.filter(F.col(S.DAYS_NEXT) == 0).select(S.ID)
+    back = target.filter(F.col(S.DAYS_NEXT) == 0).select(S.ID).distinct()
     counts = count_by(raw, [S.ID, "executante"], "n").join(back, S.ID, "left_semi")
     hospitals = counts.groupBy("executante").agg(F.sum("n").alias("episodes"))
     return top_k(hospitals, k, F.col("episodes").desc(), F.col("executante").asc_nulls_last())

@@ -8,7 +8,7 @@ from episodica import schema as S
 from episodica.functions.buckets import stay_bucket
 from episodica.functions.numeric import round2
 from episodica.functions.temporal import days_between, month_start, weekday_sunday0
-from episodica.operators.heavy import UNTIMED_SLICE, HeavyKeys, calendar_slice, history_order
+from episodica.operators.heavy import UNTIMED_SLICE, HeavyKeys, calendar_slice, history_order, null_safe_key
 from episodica.schema import EpisodeConfig
 
 LOOKBACKS = (30, 90, 365)
@@ -53,9 +53,11 @@ def _plain(base: DataFrame) -> DataFrame:
 
 def _sliced(base: DataFrame, slice_days: int) -> DataFrame:
     """The same columns for heavy subjects, a calendar slice at a time."""
-    cut = base.withColumn("__slice", calendar_slice(F.col(S.ADMISSION), slice_days, F.col(_TEXT)))
-    w = Window.partitionBy(S.ID, "__slice").orderBy(*history_order(S.ADMISSION, _TEXT))
-    cut = cut.withColumns(
+    placed = base.withColumn("__key", null_safe_key(S.ID)).withColumn(
+        "__slice", calendar_slice(F.col(S.ADMISSION), slice_days, F.col(_TEXT))
+    )
+    w = Window.partitionBy("__key", "__slice").orderBy(*history_order(S.ADMISSION, _TEXT))
+    cut = placed.withColumns(
         {
             "__n": F.row_number().over(w) - 1,
             # A struct tells a previous row with no discharge from no previous row.
@@ -66,32 +68,26 @@ def _sliced(base: DataFrame, slice_days: int) -> DataFrame:
 
     last = F.max(F.struct(S.ADMISSION, F.md5(_TEXT).alias("digest"), _TEXT, S.DISCHARGE))
     timed_last = F.max(F.struct(S.ADMISSION, _TEXT, S.DISCHARGE))
-    per_slice = base.withColumn("__slice", calendar_slice(F.col(S.ADMISSION), slice_days, F.col(_TEXT))).groupBy(
-        S.ID, "__slice"
-    ).agg(
+    per_slice = placed.groupBy("__key", "__slice").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("__label").alias("positives"),
         F.when(F.col("__slice") >= UNTIMED_SLICE, last[S.DISCHARGE]).otherwise(timed_last[S.DISCHARGE]).alias("last"),
     )
-    along = Window.partitionBy(S.ID).orderBy("__slice")
+    along = Window.partitionBy("__key").orderBy("__slice")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
-        F.col(S.ID).alias("__oid"),
+        F.col("__key").alias("__okey"),
         F.col("__slice").alias("__oslice"),
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("__rows0"),
         F.coalesce(F.sum("positives").over(earlier), F.lit(0)).alias("__positives0"),
         F.lag(F.struct(F.col("last").alias(S.DISCHARGE))).over(along).alias("__last0"),
         F.sum(F.when(F.col("__slice") >= UNTIMED_SLICE, F.col("rows")).otherwise(0))
-        .over(Window.partitionBy(S.ID))
+        .over(Window.partitionBy("__key"))
         .alias("__untimed"),
     )
-    cut = cut.join(
-        offsets, F.col(S.ID).eqNullSafe(F.col("__oid")) & (F.col("__slice") == F.col("__oslice")), "left"
-    )
-    counts = _lookback_counts(base, slice_days)
-    cut = cut.join(
-        counts, F.col(S.ID).eqNullSafe(F.col("__cid")) & (F.col(_TEXT) == F.col("__ctext")), "left"
-    )
+    cut = cut.join(offsets, (F.col("__key") == F.col("__okey")) & (F.col("__slice") == F.col("__oslice")), "left")
+    counts = _lookback_counts(placed, slice_days)
+    cut = cut.join(counts, (F.col("__key") == F.col("__ckey")) & (F.col(_TEXT) == F.col("__ctext")), "left")
     return cut.select(
         *base.columns,
         (F.col("__n") + F.col("__rows0")).cast("bigint").alias("previous_hospitalizations"),
@@ -107,15 +103,15 @@ def _sliced(base: DataFrame, slice_days: int) -> DataFrame:
     )
 
 
-def _lookback_counts(base: DataFrame, slice_days: int) -> DataFrame:
+def _lookback_counts(placed: DataFrame, slice_days: int) -> DataFrame:
     """Look-back counts as the difference of two ranks, so no frame slides over a long history.
 
     Every episode asks how many admissions lie before its own time and before
     the start of each look-back; questions and admissions share one timeline.
     """
-    timed = base.filter(F.col(S.ADMISSION).isNotNull()).select(S.ID, _TEXT, S.ADMISSION)
+    timed = placed.filter(F.col(S.ADMISSION).isNotNull()).select("__key", _TEXT, S.ADMISSION)
     questions = timed.select(
-        S.ID,
+        "__key",
         _TEXT,
         F.explode(
             F.array(
@@ -128,40 +124,40 @@ def _lookback_counts(base: DataFrame, slice_days: int) -> DataFrame:
                 ]
             )
         ).alias("q"),
-    ).select(S.ID, _TEXT, F.col("q.back").alias("back"), F.col("q.at").alias("at"), F.lit(0).alias("admission"))
+    ).select("__key", _TEXT, F.col("q.back").alias("back"), F.col("q.at").alias("at"), F.lit(0).alias("admission"))
     admissions = timed.select(
-        S.ID, F.lit(None).cast("string").alias(_TEXT), F.lit(None).cast("int").alias("back"),
+        "__key", F.lit(None).cast("string").alias(_TEXT), F.lit(None).cast("int").alias("back"),
         F.col(S.ADMISSION).alias("at"), F.lit(1).alias("admission"),
     )
     line = questions.unionByName(admissions).withColumn("__slice", calendar_slice(F.col("at"), slice_days))
 
     # At one instant questions come first: an admission there is not before them.
     w = (
-        Window.partitionBy(S.ID, "__slice")
+        Window.partitionBy("__key", "__slice")
         .orderBy("at", "admission")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     line_counts = line.withColumn("__before", F.coalesce(F.sum("admission").over(w), F.lit(0)))
-    earlier = Window.partitionBy(S.ID).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        line.groupBy(S.ID, "__slice")
+        line.groupBy("__key", "__slice")
         .agg(F.sum("admission").alias("n"))
         .select(
-            F.col(S.ID).alias("__oid"),
+            F.col("__key").alias("__okey"),
             F.col("__slice").alias("__oslice"),
             F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n0"),
         )
     )
     answered = (
         line_counts.filter(F.col("admission") == 0)
-        .join(offsets, F.col(S.ID).eqNullSafe(F.col("__oid")) & (F.col("__slice") == F.col("__oslice")), "left")
+        .join(offsets, (F.col("__key") == F.col("__okey")) & (F.col("__slice") == F.col("__oslice")), "left")
         .withColumn("before", F.col("__before") + F.col("__n0"))
     )
     now = F.max(F.when(F.col("back") == 0, F.col("before")))
     return (
-        answered.groupBy(S.ID, _TEXT)
+        answered.groupBy("__key", _TEXT)
         .agg(*[(now - F.max(F.when(F.col("back") == d, F.col("before")))).alias(f"__c{d}") for d in LOOKBACKS])
-        .withColumnsRenamed({S.ID: "__cid", _TEXT: "__ctext"})
+        .withColumnsRenamed({"__key": "__ckey", _TEXT: "__ctext"})
     )
 
 

@@ -65,6 +65,11 @@ def find_heavy_keys(
     return HeavyKeys(busy.select(key), found["keys"], days)
 
 
+def null_safe_key(key: str) -> Column:
+    """The key as a one-field struct: never NULL itself, so a plain equi-join and a window group NULL keys alike."""
+    return F.struct(key)
+
+
 def calendar_slice(ts: Column, days: int, untimed_by: Column | None = None) -> Column:
     """Number of the calendar slice of a time; NULL times spread over 256 slices by digest."""
     timed = F.floor(F.date_diff(ts, F.lit("1970-01-01").cast("date")) / F.lit(days)).cast("int")

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from episodica.operators.heavy import HeavyKeys, calendar_slice
+from episodica.operators.heavy import HeavyKeys, calendar_slice, null_safe_key
 
 _QUERY, _SIGNAL, _EVENT = 0, 1, 2
 
@@ -180,19 +180,19 @@ def lead_row(
     if slice_by is None:
         raise ValueError("heavy subjects need slice_by")
 
-    cut = heavy.only(df, key).withColumn("__slice", slice_by)
-    in_slice = Window.partitionBy(key, "__slice").orderBy(*order)
+    cut = heavy.only(df, key).withColumn("__key", null_safe_key(key)).withColumn("__slice", slice_by)
+    in_slice = Window.partitionBy("__key", "__slice").orderBy(*order)
     cut = cut.withColumn("__lead", F.lead(payload).over(in_slice)).withColumn(
         "__first", F.row_number().over(in_slice) == 1
     )
     firsts = cut.filter("__first").select(
-        F.col(key).alias("__ckey"), F.col("__slice").alias("__cslice"), payload.alias("__firstrow")
+        F.col("__key").alias("__ckey"), F.col("__slice").alias("__cslice"), payload.alias("__firstrow")
     )
     firsts = firsts.select(
         "__ckey",
         "__cslice",
         F.lead("__firstrow").over(Window.partitionBy("__ckey").orderBy("__cslice")).alias("__carried"),
     )
-    on = F.col(key).eqNullSafe(F.col("__ckey")) & (F.col("__slice") == F.col("__cslice"))
+    on = (F.col("__key") == F.col("__ckey")) & (F.col("__slice") == F.col("__cslice"))
     dense = cut.join(firsts, on, "left").withColumn("__lead", F.coalesce("__lead", "__carried"))
     return plain(heavy.without(df, key)).unionByName(expand(dense))

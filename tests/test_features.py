@@ -76,6 +76,23 @@ def test_lead_equals_brute_force_plain_and_split(spark, make):
         assert r["next_executante"] == (following["executante"] if following else None)
 
 
+def test_missing_subject_can_be_heavy(spark, make):
+    target = with_labels(random_episodes(make, 6)).withColumn(S.ID, F.when(F.col(S.ID) != "hot", F.col(S.ID))).cache()
+    heavy = find_heavy_keys(target, S.ID, S.ADMISSION, 60)
+    expected = brute_force_history(target.collect())
+    found = {r[S.ADMISSION_TEXT]: tuple(r[n] for n in NAMES) for r in history(target, heavy=heavy).collect()}
+    assert found == expected
+    plain = {r[S.ADMISSION_TEXT]: r for r in overlaps.lead_next(target).collect()}
+    assert plain == {r[S.ADMISSION_TEXT]: r for r in overlaps.lead_next(target, heavy).collect()}
+
+
+def test_slices_shorten_where_rows_are_dense(spark, make):
+    target = random_episodes(make, 7)
+    assert find_heavy_keys(target, S.ID, S.ADMISSION, 1000) is None
+    assert find_heavy_keys(target, S.ID, S.ADMISSION, 60).slice_days == 30
+    assert find_heavy_keys(target, S.ID, S.ADMISSION, 60, rows_per_slice=1).slice_days in range(1, 15)
+
+
 def test_history_plan_sorts_once(spark, make):
     target = with_labels(random_episodes(make, 1))
     plan = build_features(target)._jdf.queryExecution().executedPlan().toString()
