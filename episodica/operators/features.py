@@ -66,12 +66,13 @@ def _sliced(base: DataFrame, slice_days: int) -> DataFrame:
         }
     )
 
-    last = F.max(F.struct(S.ADMISSION, F.md5(_TEXT).alias("digest"), _TEXT, S.DISCHARGE))
-    timed_last = F.max(F.struct(S.ADMISSION, _TEXT, S.DISCHARGE))
+    # Last row of the slice in history order.
+    digest = F.when(F.col(S.ADMISSION).isNull(), F.md5(_TEXT)).alias("digest")
+    last = F.max(F.struct(S.ADMISSION, digest, _TEXT, S.DISCHARGE))[S.DISCHARGE]
     per_slice = placed.groupBy("__key", "__slice").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("__label").alias("positives"),
-        F.when(F.col("__slice") >= UNTIMED_SLICE, last[S.DISCHARGE]).otherwise(timed_last[S.DISCHARGE]).alias("last"),
+        last.alias("last"),
     )
     along = Window.partitionBy("__key").orderBy("__slice")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)

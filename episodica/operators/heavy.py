@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # More heavy subjects than this are matched with a shuffle join instead of a broadcast.
 MAX_BROADCAST_KEYS = 100_000
+MAX_COLLECTED_KEYS = 10_000
 
 # Slice numbers of rows without a time start here; they sort after all calendar slices.
 UNTIMED_SLICE = 1 << 30
@@ -58,11 +59,18 @@ def find_heavy_keys(
         .filter(F.col("n") > heavy_rows)
     )
     per_day = F.col("n") / (F.coalesce(F.date_diff("last", "first"), F.lit(0)) + 1)
-    found = busy.agg(F.count(F.lit(1)).alias("keys"), F.max(per_day).alias("per_day")).head()
-    if not found["keys"]:
+    busy = busy.select(key, per_day.alias("per_day"))
+    few = busy.limit(MAX_COLLECTED_KEYS + 1).collect()
+    if not few:
         return None
-    days = max(1, min(MAX_SLICE_DAYS, int(rows_per_slice / found["per_day"])))
-    return HeavyKeys(busy.select(key), found["keys"], days)
+    if len(few) <= MAX_COLLECTED_KEYS:
+        # A short list is kept on the driver, so that later plans do not count the table again.
+        keys = df.sparkSession.createDataFrame([(r[key],) for r in few], busy.select(key).schema)
+        count, densest = len(few), max(r["per_day"] for r in few)
+    else:
+        keys = busy.select(key)
+        count, densest = busy.agg(F.count(F.lit(1)), F.max("per_day")).head()
+    return HeavyKeys(keys, count, max(1, min(MAX_SLICE_DAYS, int(rows_per_slice / densest))))
 
 
 def null_safe_key(key: str) -> Column:
