@@ -117,7 +117,7 @@ def build_target(
 def has_duplicate_keys(episodes: DataFrame) -> bool:
     """True when two episodes share (subject, admission time)."""
     keys = episodes.filter(F.col(S.ADMISSION).isNotNull()).groupBy(S.ID, S.ADMISSION).count()
-    return bool(keys.filter(F.col("count") > 1).head(1))
+    return (keys.agg(F.max("count")).head()[0] or 0) > 1
 
 
 def target_invariants(episodes: DataFrame, target: DataFrame, cfg: EpisodeConfig = EpisodeConfig()) -> DataFrame:
