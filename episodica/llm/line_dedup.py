@@ -48,8 +48,9 @@ def repeated_positions(spark: SparkSession, docs: DataFrame, min_lines: int, scr
     while depth < min_lines:
         step = min(depth, min_lines - depth)
         ahead = Window.partitionBy("at.did", "at.rk").orderBy("at.line").rangeBetween(step, step)
-        pairs = ranked.select("at", "rank", F.min("rank").over(ahead).alias("next")).filter("next IS NOT NULL")
-        ranked, depth = scratch.table(_ranked(pairs, ["rank", "next"])), depth + step
+        pairs = ranked.select("at", F.col("rank").alias("here"), F.min("rank").over(ahead).alias("there"))
+        pairs = pairs.filter("there IS NOT NULL")
+        ranked, depth = scratch.table(_ranked(pairs, ["here", "there"])), depth + step
     return ranked
 
 
