@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from episodica.llm import exact_dedup, line_dedup
+from episodica.llm import exact_dedup, line_dedup, near_dedup, suffix_dedup, window_dedup
 from episodica.llm.common import documents
 
 
@@ -14,12 +14,28 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup.near_dedup(spark, documents(spark, sf_dir))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.suffix_dedup(spark, documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(spark, documents(spark, sf_dir))
 
 
+def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = window_dedup.window_dedup(spark, documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op5_line_dedup)}
+    made = (op1_exact_dedup, op2_near_dedup, op3_suffix_dedup, op5_line_dedup, op9_window_dedup)
+    return {f.__name__: f for f in made}
 
 
 EXACT_SQL = r"""
@@ -35,6 +51,26 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM ranked
 """
 
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1 : i + 4], ' ')) END) AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS h FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS c
+  FROM items a JOIN items b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (total - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS v, doc_id AS c FROM sets
+  UNION SELECT e.a, r.c FROM reach r JOIN edges e ON e.b = r.v),
+least AS (SELECT v, min(c) AS component_id FROM reach GROUP BY v)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON v = doc_id
+"""
+
 LINE_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
@@ -61,5 +97,30 @@ FROM documents d LEFT JOIN summed s USING (doc_id)
 """
 
 
+WINDOW_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+starts AS (
+  SELECT doc_id, unnest(range(len(w) - 49)) AS pos, w FROM words WHERE len(w) >= 50),
+windows AS (
+  SELECT doc_id, pos, md5(array_to_string(w[pos + 1 : pos + 50], ' ')) AS h FROM starts),
+judged AS (
+  SELECT doc_id, pos, doc_id > min(doc_id) OVER (PARTITION BY h) AS gone FROM windows),
+places AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM words),
+marked AS (
+  SELECT p.doc_id, p.pos, word, coalesce(bool_or(gone) OVER (PARTITION BY p.doc_id ORDER BY p.pos
+           ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM places p LEFT JOIN judged j USING (doc_id, pos)),
+summed AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN summed s USING (doc_id)
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_SQL, "op5_line_dedup": LINE_SQL}
+    return {"op1_exact_dedup": EXACT_SQL, "op2_near_dedup": NEAR_SQL, "op5_line_dedup": LINE_SQL, "op9_window_dedup": WINDOW_SQL}
