@@ -7,7 +7,9 @@ key and one result, and two different texts under one doc_id stay apart.
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,8 +19,22 @@ NULL_ID = -(2**63)
 ROW_KEY = ["did", "rk"]
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Let Python workers find this package where it is used from its source folder; on a cluster use --py-files."""
+    here = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, here])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
