@@ -193,7 +193,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int =
     )
     entries = postings(scratch, reps)
     wanted = scratch.table(reps.join(entries.select("rep").distinct(), "rep").select("rep", "rk", "sig"))
-    texts = keyed.join(wanted.select(F.col("rep").alias("did"), "rk", "rep"), ROW_KEY).select("rep", "text")
+    texts = keyed.join(wanted.select(F.col("rep").alias("did"), "rk", "rep").hint("shuffle_hash"), ROW_KEY).select("rep", "text")
     sets = scratch.table(texts.mapInArrow(_sets(k), "rep long, shingles binary"))
 
     links = _confirm(scratch, leader_pairs(entries), wanted, sets, percent)
@@ -220,4 +220,4 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, k: int = 5, percent:
     """The documents that stay, with all their columns."""
     kept = near_dedup(spark, docs, k, percent).filter("kept").select(*ROW_KEY).distinct()
     rows = docs.select(*row_key(), F.struct("*").alias("row"))
-    return rows.join(kept, ROW_KEY, "left_semi").select("row.*")
+    return rows.join(kept.hint("shuffle_hash"), ROW_KEY, "left_semi").select("row.*")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from episodica.llm import exact_dedup, line_dedup, near_dedup, suffix_dedup, window_dedup
-from episodica.llm.common import documents
+from episodica.llm import exact_dedup, language, line_dedup, near_dedup, suffix_dedup, toxicity, window_dedup
+from episodica.llm.common import documents, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +28,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(spark, documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(spark, documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = window_dedup.window_dedup(spark, documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_exact_dedup, op2_near_dedup, op3_suffix_dedup, op5_line_dedup, op9_window_dedup)
+    made = (op1_exact_dedup, op2_near_dedup, op3_suffix_dedup, op5_line_dedup, op6_language_id, op8_toxicity, op9_window_dedup)
     return {f.__name__: f for f in made}
 
 
