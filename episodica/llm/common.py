@@ -49,6 +49,23 @@ def id_of(did: Column) -> Column:
     return F.when(did != NULL_ID, did)
 
 
+def vocabulary_file(name: str) -> str:
+    """Path of a public vocabulary file; TOKENIZERS_DIR names another folder."""
+    return f"{os.environ.get('TOKENIZERS_DIR', '/opt/tokenizers')}/{name}"
+
+
+class Shared:
+    """A broadcast value with a key, under which workers keep what they make of it."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self._broadcast = spark.sparkContext.broadcast(value)
+        self.id = uuid.uuid4().hex
+
+    @property
+    def value(self):
+        return self._broadcast.value
+
+
 class Scratch:
     """Tables of one run in the shared folder: each cuts the lineage, so a lost executor costs one step."""
 

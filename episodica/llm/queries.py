@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from episodica.llm import exact_dedup, language, line_dedup, near_dedup, suffix_dedup, toxicity, window_dedup
-from episodica.llm.common import documents, table
+import corpus_pipeline
+from episodica.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup, suffix_dedup, token_counts, toxicity, window_dedup
+from episodica.llm.common import documents, table, vocabulary_file
+
+
+def byte_pattern() -> str:
+    """The split pattern that goes with the rank file, as its folder states it."""
+    spec = importlib.util.spec_from_file_location("vocabulary_files", vocabulary_file("__init__.py"))
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module.PATTERN
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +34,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode(spark, documents(spark, sf_dir), vocabulary_file("word_bpe_49k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(spark, documents(spark, sf_dir))
 
@@ -32,18 +50,37 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(spark, documents(spark, sf_dir))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark, documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.tiktoken"), byte_pattern())
+
+
 def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = window_dedup.window_dedup(spark, documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_exact_dedup, op2_near_dedup, op3_suffix_dedup, op5_line_dedup, op6_language_id, op8_toxicity, op9_window_dedup)
-    return {f.__name__: f for f in made}
+    made = (
+        op1_exact_dedup,
+        op2_near_dedup,
+        op3_suffix_dedup,
+        op4_bpe,
+        op5_line_dedup,
+        op6_language_id,
+        op7_decontaminate,
+        op8_toxicity,
+        op9_window_dedup,
+        op10_token_counts,
+    )
+    return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 
 EXACT_SQL = r"""
@@ -105,6 +142,21 @@ FROM documents d LEFT JOIN summed s USING (doc_id)
 """
 
 
+LEAK_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM texts),
+sets AS (
+  SELECT kind, id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END) AS s FROM words),
+items AS (SELECT id AS item_id, len(s) AS n, unnest(s) AS g FROM sets WHERE kind = 'b'),
+grams AS (SELECT id AS doc_id, unnest(s) AS g FROM sets WHERE kind = 'd')
+SELECT doc_id, item_id, any_value(n) AS n_item_shingles, count(*) AS n_shared
+FROM items JOIN grams USING (g) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)
+"""
+
 WINDOW_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
@@ -131,4 +183,11 @@ FROM documents d LEFT JOIN summed s USING (doc_id)
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_SQL, "op2_near_dedup": NEAR_SQL, "op5_line_dedup": LINE_SQL, "op9_window_dedup": WINDOW_SQL}
+    made = {
+        "op1_exact_dedup": EXACT_SQL,
+        "op2_near_dedup": NEAR_SQL,
+        "op5_line_dedup": LINE_SQL,
+        "op7_decontaminate": LEAK_SQL,
+        "op9_window_dedup": WINDOW_SQL,
+    }
+    return made if corpus_pipeline.ORACLE_SQL is None else made | {"pipeline": corpus_pipeline.ORACLE_SQL}
