@@ -67,7 +67,7 @@ def later_copies(spark: SparkSession, docs: DataFrame, min_lines: int = MIN_LINE
 def with_kept_text(spark: SparkSession, docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Rows (row, lines, gone, kept): the input row, its lines, deleted line numbers and the text that is left."""
     rows = docs.select(*row_key(), F.struct("*").alias("row"))
-    joined = rows.join(later_copies(spark, docs, min_lines), ROW_KEY, "left").withColumn("lines", _lines(F.col("row.text")))
+    joined = rows.join(later_copies(spark, docs, min_lines).hint("shuffle_hash"), ROW_KEY, "left").withColumn("lines", _lines(F.col("row.text")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
