@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from episodica import schema as S
 from episodica.functions import vocabulary as V
 from episodica.functions.numeric import count_when
+from episodica.operators.episodes import request_date
 from episodica.operators.reports import count_by, top_k
 
 
@@ -27,9 +28,10 @@ def closure_hospital(raw: DataFrame) -> DataFrame:
 
 
 def closure_dates(raw: DataFrame) -> DataFrame:
+    when = request_date(raw)
     return _closed(raw).agg(
-        F.min(S.REQUEST_DATE).alias("min_request_date"),
-        F.max(S.REQUEST_DATE).alias("max_request_date"),
+        F.min(when).alias("min_request_date"),
+        F.max(when).alias("max_request_date"),
         F.count(F.lit(1)).alias("episodes"),
     )
 
@@ -45,7 +47,7 @@ def closure_next(target: DataFrame) -> DataFrame:
 
 def closure_sample(raw: DataFrame, k: int = 30) -> DataFrame:
     rows = _closed(raw).select(
-        S.ID, S.REQUEST_DATE, "datahorasolicitacao", S.ADMISSION_TEXT, S.DISCHARGE_TEXT, "situacao",
+        S.ID, request_date(raw).alias(S.REQUEST_DATE), "datahorasolicitacao", S.ADMISSION_TEXT, S.DISCHARGE_TEXT, "situacao",
         "executante", "especialidade", "tipoleito", "carater", "codigocid", "motivoalta",
     )
     # All columns break ties, so equal request dates give the same rows each time.

@@ -8,8 +8,10 @@ from episodica import schema as S
 from episodica.functions import vocabulary as V
 from episodica.functions.numeric import count_when, percent2, round2
 from episodica.functions.temporal import days_between
+from episodica.operators.episodes import request_date
 from episodica.operators.reports import count_by, histogram, random_sample, share_of_total, top_k
 from episodica.operators.target import is_candidate
+from episodica.schema import EpisodeConfig
 
 _TRACE = (
     S.ID, S.ADMISSION, S.DISCHARGE, "next_admission_ts", S.DAYS_NEXT, "motivoalta",
@@ -138,13 +140,13 @@ def zero_day_hospitals(raw: DataFrame, target: DataFrame, k: int = 20) -> DataFr
     return top_k(hospitals, k, F.col("episodes").desc(), F.col("executante").asc_nulls_last())
 
 
-def consistency(episodes: DataFrame, target: DataFrame) -> DataFrame:
+def consistency(episodes: DataFrame, target: DataFrame, cfg: EpisodeConfig = EpisodeConfig()) -> DataFrame:
     """Row counts of both tables, rule violations, and rows beyond one per (subject, admission time)."""
     counts = target.agg(
         F.count(F.lit(1)).alias("target_episodes"),
         count_when((F.col(S.ELIGIBLE) == 0) & F.col(S.LABEL).isNotNull()).alias("ineligible_with_non_null_target"),
         count_when((F.col(S.ELIGIBLE) == 1) & F.col(S.LABEL).isNull()).alias("eligible_with_null_target"),
-        count_when((F.col(S.LABEL) == 1) & ~F.col(S.DAYS_NEXT).between(2, 30)).alias("positives_outside_window"),
+        count_when((F.col(S.LABEL) == 1) & ~F.col(S.DAYS_NEXT).between(*cfg.recurrence_days)).alias("positives_outside_window"),
         (F.count(F.lit(1)) - F.count_distinct(F.struct(S.ID, S.ADMISSION))).alias("duplicate_episodes"),
     )
     return counts.withColumn("clean_episodes", episodes.agg(F.count(F.lit(1))).scalar())
@@ -162,9 +164,9 @@ def label_summary(target: DataFrame) -> DataFrame:
     )
 
 
-def general_vs_unplanned(target: DataFrame) -> DataFrame:
-    general = count_when(is_candidate())
-    other = count_when(is_candidate() & (F.col(S.LABEL) == 0))
+def general_vs_unplanned(target: DataFrame, cfg: EpisodeConfig = EpisodeConfig()) -> DataFrame:
+    general = count_when(is_candidate(cfg))
+    other = count_when(is_candidate(cfg) & (F.col(S.LABEL) == 0))
     return target.agg(
         general.alias("general_readmissions_2_30d"),
         count_when(F.col(S.LABEL) == 1).alias("unplanned_readmissions_2_30d"),
@@ -191,7 +193,7 @@ def trace_raw(raw: DataFrame, prefix: str) -> DataFrame:
     return (
         raw.filter(F.col(S.ID).startswith(prefix))
         .select(
-            S.ID, S.REQUEST_DATE, "datahorasolicitacao", S.ADMISSION_TEXT, S.DISCHARGE_TEXT, "situacao",
+            S.ID, request_date(raw).alias(S.REQUEST_DATE), "datahorasolicitacao", S.ADMISSION_TEXT, S.DISCHARGE_TEXT, "situacao",
             "executante", "municipioexecutante", "especialidade", "tipoleito", "carater", "codigocid", "motivoalta",
         )
         .orderBy(F.col("datahorasolicitacao").asc_nulls_last(), F.col(S.REQUEST_DATE).asc_nulls_last())

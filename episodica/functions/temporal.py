@@ -31,6 +31,19 @@ def parse_day_first(text: Column | str) -> Column:
     return F.when(text.rlike(_FULL_WIDTH), iso).otherwise(loose).try_cast("timestamp_ntz")
 
 
+def parse_date(text: Column | str) -> Column:
+    """``d/M/y`` or ISO text, with or without a time, to a date; anything else is NULL."""
+    text = F.trim(_col(text))
+    day_first = F.regexp_replace(F.substring_index(text, " ", 1), r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1")
+    return F.when(text.rlike(r"^\d{1,2}/"), day_first).otherwise(F.substring_index(text, " ", 1)).try_cast("date")
+
+
+def parse_time(text: Column | str) -> Column:
+    """``d/M/y H:m:s`` or ISO text to a time; anything else is NULL."""
+    text = _col(text)
+    return F.coalesce(parse_day_first(text), F.trim(text).try_cast("timestamp_ntz"))
+
+
 def format_day_first(ts: Column | str) -> Column:
     """TIMESTAMP_NTZ to ``dd/MM/yyyy HH:mm:ss`` text."""
     iso = _col(ts).cast("string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from episodica import schema as S
 from episodica.functions import vocabulary as V
-from episodica.functions.temporal import add_years, parse_day_first
+from episodica.functions.temporal import add_years, parse_date, parse_day_first
 from episodica.schema import EpisodeConfig
 
 MAX_BROADCAST_OVERRIDES = 10_000
@@ -16,6 +16,13 @@ def has_admission(text: str = S.ADMISSION_TEXT) -> Column:
     return F.col(text).isNotNull() & (F.col(text) != V.ADMISSION_SENTINEL)
 
 
+def request_date(raw: DataFrame) -> Column:
+    """The request date; texts, as extracts give them, are parsed so that dates compare as dates."""
+    if raw.schema[S.REQUEST_DATE].dataType.simpleString() == "string":
+        return parse_date(S.REQUEST_DATE)
+    return F.col(S.REQUEST_DATE)
+
+
 def collapse_episodes(raw: DataFrame, cfg: EpisodeConfig = EpisodeConfig()) -> DataFrame:
     """One row per (subject, admission text).
 
@@ -35,7 +42,7 @@ def collapse_episodes(raw: DataFrame, cfg: EpisodeConfig = EpisodeConfig()) -> D
         .groupBy(S.ID, S.ADMISSION_TEXT)
         .agg(
             discharge.alias(S.DISCHARGE_TEXT),
-            F.max(S.REQUEST_DATE).alias("last_update"),
+            F.max(request_date(raw)).alias("last_update"),
             *[F.min(c).alias(c) for c in cfg.attributes],
         )
     )

@@ -53,13 +53,15 @@ def find_heavy_keys(
     """
     if df.count() <= heavy_rows:
         return None
+    # Rows per longest slice are counted, not averaged over a subject's whole span: one odd date changes nothing.
     busy = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last"))
+        df.groupBy(key, calendar_slice(F.col(time), MAX_SLICE_DAYS).alias("slice"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(key)
+        .agg(F.sum("n").alias("n"), F.max(F.when(F.col("slice").isNotNull(), F.col("n"))).alias("most"))
         .filter(F.col("n") > heavy_rows)
     )
-    per_day = F.col("n") / (F.coalesce(F.date_diff("last", "first"), F.lit(0)) + 1)
-    busy = busy.select(key, per_day.alias("per_day"))
+    busy = busy.select(key, (F.coalesce("most", F.lit(1)) / MAX_SLICE_DAYS).alias("per_day"))
     few = busy.limit(MAX_COLLECTED_KEYS + 1).collect()
     if not few:
         return None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from episodica import schema as S
 from episodica.functions import vocabulary as V
-from episodica.functions.temporal import parse_day_first
+from episodica.functions.temporal import parse_time
 from episodica.functions.text import any_of, blank_to_null, contains_any, distinct_text, without_accents
 from episodica.operators.episodes import has_admission, with_admission_time
 from episodica.schema import EpisodeConfig
@@ -37,10 +37,16 @@ def billing_procedure_rows(billing: DataFrame) -> DataFrame:
 def billing_time(billing: DataFrame) -> Column:
     kind = billing.schema[S.ADMISSION_TEXT].dataType.simpleString()
     if kind == "string":
-        return parse_day_first(S.ADMISSION_TEXT)
+        return parse_time(S.ADMISSION_TEXT)
     return F.col(S.ADMISSION_TEXT).cast("timestamp_ntz")
 
 
+def unparsed_billing_times(billing: DataFrame) -> DataFrame:
+    """Number of billing rows whose admission time is given and cannot be read."""
+    given = blank_to_null(F.col(S.ADMISSION_TEXT).cast("string")).isNotNull()
+    return billing.agg(F.count_if(given & billing_time(billing).isNull()).alias("unparsed_times"))
+
+
 def procedure_texts(rows: DataFrame) -> DataFrame:
     """Distinct procedures per (subject, admission time) as one text."""
     return (

@@ -11,10 +11,11 @@ from episodica import schema as S
 from episodica.operators.episodes import clean_episodes, collapse_episodes
 from episodica.operators.features import build_features, check_features
 from episodica.operators.heavy import find_heavy_keys
+from episodica.operators.signals import unparsed_billing_times
 from episodica.operators.target import build_target, check_target, has_duplicate_keys
 from episodica.schema import EpisodeConfig
 from episodica.sources.contracts import require_columns
-from episodica.sources.extracts import ingest_csv, standard_specs, write_tables
+from episodica.sources.extracts import ingest_csv, require_path, standard_specs, write_quarantine, write_tables
 from episodica.sources.stages import StageStore
 
 log = logging.getLogger(__name__)
@@ -42,6 +43,9 @@ def build_from_tables(
     """
     require_columns(hospitalizations, *S.RAW_SCHEMAS["hospitalizations"].fieldNames(), table="hospitalizations")
     require_columns(billing, *S.RAW_SCHEMAS["billing"].fieldNames(), table="billing")
+    unparsed = unparsed_billing_times(billing).head()["unparsed_times"]
+    if unparsed:
+        log.warning("billing: %d admission times cannot be read", unparsed)
     store = StageStore(spark, out_dir.rstrip("/"))
     episodes = store.get(
         "hospitalization_episodes_clean", lambda: clean_episodes(collapse_episodes(hospitalizations, cfg), cfg)
@@ -69,9 +73,13 @@ def build_from_csv(
     spark: SparkSession, raw_dir: str, out_dir: str, cfg: EpisodeConfig = EpisodeConfig(), sep: str = ","
 ) -> BuildResult:
     """Read the six extracts, keep them as Parquet, then build from those tables."""
-    extracts = ingest_csv(spark, standard_specs(raw_dir, sep))
-    paths = write_tables(extracts, f"{out_dir.rstrip('/')}/raw")
+    require_path(spark, raw_dir)
+    specs = standard_specs(raw_dir, sep)
+    paths = write_tables(ingest_csv(spark, specs), f"{out_dir.rstrip('/')}/raw")
+    write_quarantine(spark, specs, f"{out_dir.rstrip('/')}/quarantine")
     raw = {name: spark.read.parquet(path) for name, path in paths.items()}
+    for name, df in raw.items():
+        log.info("%s: %d rows", name, df.count())
     for name in ("hospitalizations", "billing"):
         if name not in raw:
             raise FileNotFoundError(f"extract needed for the build: {name}")

@@ -10,7 +10,7 @@ import re
 
 from episodica.functions import vocabulary as V
 from episodica.plans import visits as fixture
-from episodica.plans.registry import HEATMAP_MIN_EPISODES, MIN_EPISODES
+from episodica.plans.registry import DESCRIBED, HEATMAP_MIN_EPISODES, MIN_EPISODES
 
 _FMT = "'%d/%m/%Y %H:%M:%S'"
 
@@ -350,13 +350,20 @@ _SUBJECT_TABLES = ("appointments", "regulated_exams", "non_regulated_exams", "re
 _SQL: dict[str, str] = {
     # sources and catalog
     "ingest_csv": f"""SELECT identificador, datasolicitacao::VARCHAR AS datasolicitacao,
-        datahorasolicitacao::VARCHAR AS datahorasolicitacao, datahorainternacao, datahoraalta, situacao,
-        {_ATTR_LIST}, procedimentosolicitado FROM visits""",
-    "parquet_roundtrip": "SELECT t AS table_name, count(*) AS rows FROM subjects GROUP BY 1",
+        datahorasolicitacao::VARCHAR AS datahorasolicitacao,
+        CASE situacao WHEN 'F' THEN 'say "hi", now' || chr(10) || 'line' WHEN 'O' THEN 'a\\' END AS situacao,
+        {", ".join(f"nullif({c}, '') AS {c}" for c in ("datahorainternacao", "datahoraalta", *_ATTRS, "procedimentosolicitado"))}
+        FROM visits""",
+    "parquet_roundtrip": "SELECT t AS table_name, count(*) AS rows, 0::BIGINT AS differing_rows FROM subjects GROUP BY 1",
     "row_counts": """SELECT t AS table_name, count(*) AS rows FROM subjects GROUP BY 1
         UNION ALL SELECT 'hospitalization_episodes_clean', count(*) FROM episodes
         UNION ALL SELECT 'hospitalization_target', count(*) FROM target
         UNION ALL SELECT 'ml_features', count(*) FROM features""",
+    "describe_schema": " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, d.column_name, d.column_type, c.non_null FROM (DESCRIBE {t}) d JOIN
+        (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE non_null) c USING (column_name)"""
+        for t in DESCRIBED
+    ),
     "sample_rows": f"SELECT {_KEYS}, executante, motivoalta FROM episodes ORDER BY 1, 2 LIMIT 5",
     "data_catalog": " UNION ALL ".join(
         [_stat(t, "k", "string", f"subjects WHERE t = '{t}'").replace("'k' AS", "'identificador' AS") for t in _SUBJECT_TABLES]
@@ -372,7 +379,7 @@ _SQL: dict[str, str] = {
     "next_episode_split": _NEXT,
     "days_until_next": f"SELECT {_KEYS}, days_until_next_admission FROM followed",
     "eligibility": f"SELECT {_KEYS}, eligible_for_readmission_model FROM gated",
-    "raw_procedures": "SELECT * FROM raw_text WHERE admission_ts IS NOT NULL",
+    "raw_procedures": "SELECT * FROM raw_text",
     "billing_procedures": "SELECT * FROM billing_text",
     "candidates": f"SELECT {_KEYS}, admission_ts, admission_character, cid FROM candidates",
     "acute_icd_signal": f"SELECT {_KEYS}, acute_cid_signal FROM signals",

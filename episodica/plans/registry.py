@@ -15,6 +15,7 @@ from episodica.marts import filters, rates
 from episodica.operators import features as feat, reports, signals, target as tgt
 from episodica.operators.episodes import collapse_episodes, parse_discharge, with_admission_time
 from episodica.operators.heavy import HeavyKeys, find_heavy_keys
+from episodica.plans.visits import table
 from episodica.plans.workspace import Workspace, workspace
 from episodica.sources import catalog, extracts
 
@@ -27,6 +28,8 @@ MIN_EPISODES = 20
 HEATMAP_MIN_EPISODES = 1
 
 KEY = (S.ID, S.ADMISSION_TEXT)
+# Given tables whose columns describe_schema lists.
+DESCRIBED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
 def _split(w: Workspace) -> HeavyKeys | None:
@@ -36,8 +39,11 @@ def _split(w: Workspace) -> HeavyKeys | None:
 def _ingest_csv(w: Workspace) -> DataFrame:
     folder = f"{w.store.folder}/csv/hospitalizations"
     text = w.visits.select(*[F.col(c).cast("string") for c in S.RAW_SCHEMAS["hospitalizations"].fieldNames()])
+    # Texts that a careless reader cuts or drops: quotes, separator, line break, backslash, nothing.
+    status = F.when(F.col("situacao") == "F", F.lit('say "hi", now\nline')).when(F.col("situacao") == "O", F.lit("a\\"))
+    text = text.withColumn("situacao", status.otherwise(F.lit("")))
     text.write.mode("overwrite").csv(
-        folder, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        folder, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
     spec = extracts.CsvSpec(folder, S.RAW_SCHEMAS["hospitalizations"])
     return extracts.ingest_csv(w.spark, {"hospitalizations": spec})["hospitalizations"]
@@ -47,7 +53,7 @@ def _parquet_roundtrip(w: Workspace) -> DataFrame:
     folder = f"{w.store.folder}/exported"
     extracts.write_tables(w.extracts, folder)
     back = extracts.read_tables(w.spark, folder, list(w.extracts))
-    return catalog.row_counts(back)
+    return catalog.compare_tables(w.extracts, back)
 
 
 def _candidates(w: Workspace) -> DataFrame:
@@ -77,10 +83,6 @@ def _history(w: Workspace, *columns: str) -> DataFrame:
     return feat.history(w.target, w.heavy_history).select(*KEY, *columns)
 
 
-def _procedure_texts(rows: DataFrame) -> DataFrame:
-    return signals.procedure_texts(rows.filter(F.col(S.ADMISSION).isNotNull()))
-
-
 def _enriched(w: Workspace) -> DataFrame:
     return planning.enrich_next(w.target, w.episodes)
 
@@ -105,7 +107,7 @@ OPERATORS: dict[str, Query] = {
     "row_counts": lambda w: catalog.row_counts(
         {**w.extracts, "hospitalization_episodes_clean": w.episodes, "hospitalization_target": w.target, "ml_features": w.features}
     ),
-    "describe_schema": lambda w: catalog.describe_schema(w.features),
+    "describe_schema": lambda w: catalog.describe_tables({n: table(w.spark, w.sf_dir, n) for n in DESCRIBED}),
     "sample_rows": lambda w: catalog.sample_rows(w.episodes.select(*KEY, "executante", "motivoalta"), 5, list(KEY)),
     "data_catalog": lambda w: catalog.data_catalog(w.extracts),
     # episodes and target
@@ -121,8 +123,8 @@ OPERATORS: dict[str, Query] = {
     ),
     "days_until_next": _gap_rows,
     "eligibility": lambda w: w.episodes.select(*KEY, tgt.eligible(w.cfg).alias(S.ELIGIBLE)),
-    "raw_procedures": lambda w: _procedure_texts(signals.raw_procedure_rows(w.visits, w.cfg)),
-    "billing_procedures": lambda w: _procedure_texts(signals.billing_procedure_rows(w.billing)),
+    "raw_procedures": lambda w: signals.procedure_texts(signals.raw_procedure_rows(w.visits, w.cfg)),
+    "billing_procedures": lambda w: signals.procedure_texts(signals.billing_procedure_rows(w.billing)),
     "candidates": lambda w: _candidates(w).select(*KEY, S.ADMISSION, "admission_character", "cid"),
     "acute_icd_signal": lambda w: _signal(w, "acute_cid_signal", lambda d: signals.acute_icd(F.col("cid")).cast("int")),
     "acute_procedure_signal": lambda w: _signal(w, "acute_procedure_signal", lambda d: F.col("acute_procedure")),

@@ -28,6 +28,48 @@ def describe_schema(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column_name string, column_type string")
 
 
+#: SQL names of the types that tables have.
+_SQL_TYPES = {
+    "tinyint": "TINYINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "float": "FLOAT", "double": "DOUBLE",
+    "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+    "binary": "BLOB",
+}
+
+
+def describe_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Every column of every table with its SQL type and its number of values; one pass per table."""
+    parts = []
+    for table, df in tables.items():
+        counts = df.agg(*[F.count(F.col(f"`{name}`")).alias(f"n{i}") for i, name in enumerate(df.columns)])
+        rows = F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("column_name"), F.lit(_SQL_TYPES.get(kind, kind.upper())).alias("column_type"),
+                    F.col(f"n{i}").alias("non_null"),
+                )
+                for i, (name, kind) in enumerate(df.dtypes)
+            ]
+        )
+        parts.append(counts.select(F.lit(table).alias("table_name"), F.inline(rows)))
+    return _union(parts)
+
+
+def compare_tables(tables: Mapping[str, DataFrame], copies: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows of each table, and how many rows, counted with repetition, one side has and the other lacks."""
+    parts = []
+    for name, df in tables.items():
+        sides = df.withColumn("__side", F.lit(1)).unionByName(copies[name].withColumn("__side", F.lit(-1)))
+        kinds = sides.groupBy(*df.columns).agg(
+            F.sum("__side").alias("surplus"), F.count_if(F.col("__side") == 1).alias("rows")
+        )
+        counts = kinds.agg(
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.abs("surplus")), F.lit(0)).alias("differing_rows"),
+        )
+        parts.append(counts.select(F.lit(name).alias("table_name"), "rows", "differing_rows"))
+    return _union(parts)
+
+
 def sample_rows(df: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFrame:
     """First n rows; in a fixed order when one is given."""
     return (df.orderBy(*order) if order else df).limit(n)

@@ -53,14 +53,25 @@ def require_path(spark: SparkSession, path: str) -> str:
 
 
 def _header(spark: SparkSession, spec: CsvSpec) -> list[str]:
-    return spark.read.csv(spec.path, header=True, sep=spec.sep, encoding=spec.encoding, inferSchema=False).columns
+    return spark.read.csv(
+        spec.path, header=True, sep=spec.sep, encoding=spec.encoding, inferSchema=False, escape='"'
+    ).columns
+
+
+def has_line_breaks_in_quotes(spark: SparkSession, spec: CsvSpec) -> bool:
+    """Whether any line of the file has an odd number of quotes; one split scan that stops at the first."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return not spark.read.text(spec.path).filter(quotes % 2 == 1).isEmpty()
 
 
 def read_csv(spark: SparkSession, spec: CsvSpec) -> DataFrame:
     """All columns of the file as text, with malformed rows kept in ``_corrupt_record``.
 
-    The header gives the columns of the file, so columns the jobs do not name
-    are kept too; named columns that the file lacks are reported.
+    Quotes in a field are doubled, a backslash is a character like any other, and an empty field is NULL, quoted or not.
+    A line break within quotes needs whole files per task; only an extract that has one is read so, which many part
+    files keep parallel. The header gives the columns of the file, so columns the jobs do not name are kept too; named
+    columns that the file lacks are reported.
     """
     names = _header(spark, spec)
     if spec.schema is not None:
@@ -68,6 +79,9 @@ def read_csv(spark: SparkSession, spec: CsvSpec) -> DataFrame:
         if lacking:
             raise ValueError(f"Columns missing in {spec.path}: {lacking}")
     fields = [T.StructField(n, T.StringType()) for n in (*names, CORRUPT)]
+    whole_files = has_line_breaks_in_quotes(spark, spec)
+    if whole_files:
+        log.warning("Line breaks in quoted fields, each file is one task: %s", spec.path)
     # Whole rows are parsed whatever columns a query takes, or a row's length would depend on the query.
     return spark.read.option("columnPruning", False).csv(
         spec.path,
@@ -78,8 +92,11 @@ def read_csv(spark: SparkSession, spec: CsvSpec) -> DataFrame:
         mode="PERMISSIVE",
         columnNameOfCorruptRecord=CORRUPT,
         enforceSchema=False,
-        # An unquoted empty field is NULL and a quoted one is an empty text; this marker keeps them apart.
-        nullValue="\u0001",
+        quote='"',
+        escape='"',
+        nullValue="",
+        emptyValue="",
+        multiLine=whole_files,
     )
 
 
@@ -132,6 +149,19 @@ def quarantine_counts(spark: SparkSession, specs: Mapping[str, CsvSpec]) -> Data
     return reduce(DataFrame.unionByName, counts)
 
 
+def write_quarantine(spark: SparkSession, specs: Mapping[str, CsvSpec], out_dir: str) -> None:
+    """Malformed rows of every extract as text, beside the tables, with their number in the log."""
+    for name, spec in specs.items():
+        if not path_exists(spark, spec.path):
+            continue
+        # The first column takes part for the reason given in good_rows.
+        df = read_csv(spark, spec)
+        bad = df.filter(F.col(CORRUPT).isNotNull() & (F.coalesce(F.length(F.col(f"`{df.columns[0]}`")), F.lit(0)) >= 0))
+        path = f"{out_dir.rstrip('/')}/{name}"
+        bad.select(CORRUPT).write.mode("overwrite").parquet(path)
+        log.info("%s: %d malformed rows", name, spark.read.parquet(path).count())
+
+
 def write_tables(tables: Mapping[str, DataFrame], out_dir: str) -> dict[str, str]:
     """One Parquet folder per table, replacing what is there."""
     paths = {}

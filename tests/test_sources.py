@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from episodica import schema as S
 from episodica.functions import vocabulary as V
+from episodica.operators.episodes import collapse_episodes
+from episodica.operators.signals import billing_time, unparsed_billing_times
 from episodica.plans.build import build_from_csv
 from episodica.sources import catalog
 from episodica.sources.contracts import missing_columns, optional_columns, require_columns
@@ -34,13 +36,49 @@ def test_short_and_long_rows_go_to_quarantine(spark, tmp_path):
     spec = CsvSpec(path, S._strings("identificador"))
     table = ingest_csv(spark, {"t": spec})["t"]
     assert table.columns == ["identificador", "a", "b"]
-    assert sorted(tuple(r) for r in table.collect()) == [("1", "x", "y"), ("4", "", None)]
+    assert sorted(tuple(r) for r in table.collect()) == [("1", "x", "y"), ("4", None, None)]
     assert table.count() == 2 and table.select("b").filter("b = 'y'").count() == 1
     assert sorted(r[0] for r in quarantine(read_csv(spark, spec).cache()).collect()) == ["2,x", "3,x,y,z"]
     counts = quarantine_counts(spark, {"t": spec}).head()
     assert (counts["good_rows"], counts["malformed_rows"], counts["rows"]) == (2, 2, 4)
 
 
+ROWS = [
+    ('1,"comma ""x"", tail"', "1", 'comma "x", tail'),
+    ('2,"say ""hi"" now"', "2", 'say "hi" now'),
+    ('3,"a\\"', "3", "a\\"),
+    ('4,""', "4", None),
+    ("5, spaced ", "5", " spaced "),
+    ('6,"line\nbreak"', "6", "line\nbreak"),
+]
+
+
+@pytest.mark.parametrize("rows", (ROWS, ROWS[:-1]))
+def test_quotes_backslashes_and_line_breaks_are_read_whole(spark, tmp_path, rows):
+    """A file that Spark did not write; with and without the row that needs whole files."""
+    path = csv_file(tmp_path, "identificador,a\n" + "\n".join(r[0] for r in rows) + "\nshort\n")
+    spec = CsvSpec(path, S._strings("identificador"))
+    table = ingest_csv(spark, {"t": spec})["t"]
+    assert sorted(tuple(r) for r in table.collect()) == [r[1:] for r in rows]
+    assert [r[0].strip() for r in quarantine(read_csv(spark, spec).cache()).collect()] == ["short"]
+
+
+def test_request_dates_and_billing_times_of_an_extract(spark, make):
+    rows = make.raw(
+        {S.ID: "p", S.ADMISSION_TEXT: "01/01/2024 10:00:00", S.REQUEST_DATE: "31/01/2024"},
+        {S.ID: "p", S.ADMISSION_TEXT: "01/01/2024 10:00:00", S.REQUEST_DATE: "01/12/2024"},
+        {S.ID: "q", S.ADMISSION_TEXT: "01/01/2024 10:00:00", S.REQUEST_DATE: "2024-03-05"},
+        {S.ID: "r", S.ADMISSION_TEXT: "01/01/2024 10:00:00", S.REQUEST_DATE: "soon"},
+    )
+    rows = rows.withColumn(S.REQUEST_DATE, F.col(S.REQUEST_DATE).cast("string"))
+    found = {r[S.ID]: r["last_update"] and str(r["last_update"]) for r in collapse_episodes(rows).collect()}
+    assert found == {"p": "2024-12-01", "q": "2024-03-05", "r": None}
+    billing = make.billing(*[{S.ID: "p", S.ADMISSION_TEXT: t} for t in ("07/01/2024 10:00:00", "2024-01-07 10:00:00", "?", None)])
+    times = [r[0] and str(r[0]) for r in billing.select(billing_time(billing)).collect()]
+    assert times == ["2024-01-07 10:00:00"] * 2 + [None] * 2
+    assert unparsed_billing_times(billing).head()[0] == 1
+
+
 def test_missing_file_is_skipped_and_missing_column_raises(spark, tmp_path):
     path = csv_file(tmp_path, "identificador,a\n1,x\n")
     specs = {"there": CsvSpec(path), "gone": CsvSpec(str(tmp_path / "gone.csv"))}
