@@ -93,6 +93,13 @@ def test_slices_shorten_where_rows_are_dense(spark, make):
     assert find_heavy_keys(target, S.ID, S.ADMISSION, 60, rows_per_slice=1).slice_days in range(1, 15)
 
 
+def test_one_odd_date_does_not_stretch_the_slices(spark, make):
+    days = [("hot", f"2024-01-{1 + i % 20:02d}T{i % 24:02d}:00:00", None, {"text": str(i)}) for i in range(400)]
+    plain = find_heavy_keys(make.episodes(*days), S.ID, S.ADMISSION, 100, rows_per_slice=40)
+    odd = find_heavy_keys(make.episodes(*days, ("hot", "0024-01-05T00:00:00", None)), S.ID, S.ADMISSION, 100, rows_per_slice=40)
+    assert plain.slice_days == odd.slice_days <= 3
+
+
 def test_history_plan_sorts_once(spark, make):
     target = with_labels(random_episodes(make, 1))
     plan = build_features(target)._jdf.queryExecution().executedPlan().toString()

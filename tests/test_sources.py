@@ -8,6 +8,7 @@ from episodica.functions import vocabulary as V
 from episodica.operators.episodes import collapse_episodes
 from episodica.operators.signals import billing_time, unparsed_billing_times
 from episodica.plans.build import build_from_csv
+from episodica.plans.report import write_reports
 from episodica.sources import catalog
 from episodica.sources.contracts import missing_columns, optional_columns, require_columns
 from episodica.sources.extracts import (
@@ -106,6 +107,13 @@ def test_build_from_csv(spark, tmp_path):
     assert built.raw["hospitalizations"].count() == 2
     assert [tuple(r) for r in built.features.select(S.LABEL, "length_of_stay_days").collect()] == [(1, 1)]
     assert spark.read.parquet(str(tmp_path / "out/hospitalization_target")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out/quarantine/hospitalizations")).collect()[0][0] == "short,row"
+    names = ["aud_episode_counts", "aud_closure_dates", "data_catalog", "mart_kpis"]
+    assert write_reports(spark, str(tmp_path / "out"), str(tmp_path / "reports"), names) == names
+    back = spark.read.csv(str(tmp_path / "reports/data_catalog"), header=True)
+    assert {r["table_name"] for r in back.collect()} == {"hospitalizations", "billing", "requests"}
+    with pytest.raises(FileNotFoundError):
+        write_reports(spark, str(tmp_path / "nothing"), str(tmp_path / "reports"))
     # A second run replaces the tables.
     build_from_csv(spark, str(tmp_path), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/ml_features")).count() == 1
