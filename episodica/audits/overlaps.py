@@ -13,6 +13,7 @@ from episodica.operators.heavy import MAX_SLICE_DAYS, HeavyKeys, calendar_slice,
 from episodica.operators.nextevent import lead_row
 from episodica.operators.reports import count_by
 
+# Source columns and the names that the report of following rows gives them.
 LEAD_COLUMNS = {
     S.ADMISSION: "next_admission_ts",
     S.DISCHARGE: "next_discharge_ts",

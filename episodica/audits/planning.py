@@ -11,6 +11,7 @@ from episodica.functions.text import blank_to_null, contains_any, planning_class
 from episodica.operators.reports import count_by, random_sample, share_of_total, share_within
 from episodica.sources.contracts import column_set, optional_columns, require_columns
 
+# Source columns and the names that the joined report gives them.
 _INDEX_COLUMNS = {
     S.DISCHARGE: "index_discharge_ts",
     S.DAYS_NEXT: S.DAYS_NEXT,

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from episodica.functions import vocabulary as V
 
+# The column names that input and output tables have.
 ID = "identificador"
 ADMISSION_TEXT = "datahorainternacao"
 DISCHARGE_TEXT = "datahoraalta"
