@@ -116,6 +116,28 @@ least AS (SELECT v, min(c) AS component_id FROM reach GROUP BY v)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON v = doc_id
 """
 
+SUFFIX_SQL = r"""
+WITH texts AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+sized AS (SELECT doc_id, h, length(h) // 2 AS n FROM texts),
+starts AS (SELECT doc_id, unnest(range(n - 399)) AS pos, h FROM sized WHERE n >= 400),
+strings AS (SELECT doc_id, pos, md5(substring(h, 2 * pos + 1, 800)) AS s FROM starts),
+repeated AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY s) > 1 AS again FROM strings),
+bytes AS (SELECT doc_id, unnest(range(n)) AS pos, unnest(regexp_extract_all(h, '..')) AS byte FROM sized),
+covered AS (
+  SELECT b.doc_id, b.pos, byte,
+         coalesce(bool_or(again) OVER (PARTITION BY b.doc_id ORDER BY b.pos
+           ROWS BETWEEN 399 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM bytes b LEFT JOIN repeated r USING (doc_id, pos)),
+marked AS (SELECT *, lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM covered),
+summed AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans,
+         string_agg(byte, '' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM sized LEFT JOIN summed USING (doc_id)
+"""
+
 LINE_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
@@ -186,6 +208,7 @@ def llm_oracles() -> dict[str, str]:
     made = {
         "op1_exact_dedup": EXACT_SQL,
         "op2_near_dedup": NEAR_SQL,
+        "op3_suffix_dedup": SUFFIX_SQL,
         "op5_line_dedup": LINE_SQL,
         "op7_decontaminate": LEAK_SQL,
         "op9_window_dedup": WINDOW_SQL,
