@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodica.llm import kernels as K
-from episodica.llm.common import ROW_KEY, Scratch, row_key
+from episodica.llm.common import ROW_KEY, Scratch, per_key, row_key
 
 #: Above this many segments the windows of a minimiser go one by one.
 HEAVY_SEGMENTS = 20_000
@@ -109,10 +109,15 @@ def _occurrences(units: Units) -> Callable:
             did, rk = (batch.column(c).to_numpy() for c in ROW_KEY)
             for low, loaded in _pieces(batch, units):
                 for _, _, runs in loaded.runs():
-                    rows = runs.text + low
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(did[rows]), pa.array(rk[rows]), pa.array(_signed(runs.anchor))], [*ROW_KEY, "anchor"]
-                    )
+                    # A text of few words over and over has one minimiser very often: one row with its number.
+                    order = np.lexsort((runs.anchor, runs.text))
+                    text, anchor = runs.text[order], runs.anchor[order]
+                    new = np.ones(len(order), dtype=bool)
+                    new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
+                    first = np.flatnonzero(new)
+                    rows = text[first] + low
+                    columns = did[rows], rk[rows], _signed(anchor[first]), np.diff(np.append(first, len(order)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*ROW_KEY, "anchor", "n"])
 
     return scan
 
@@ -221,10 +226,9 @@ def with_spans(
     """
     scratch = Scratch(spark, name)
     keyed = docs.select(*row_key(), "text")
-    occurrences = scratch.table(keyed.mapInArrow(_occurrences(units), f"{_KEY}, anchor long"))
+    occurrences = scratch.table(keyed.mapInArrow(_occurrences(units), f"{_KEY}, anchor long, n long"))
     shared = (
-        occurrences.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("low"), F.max("did").alias("high"))
+        per_key(occurrences, ["anchor"], F.sum("n").alias("n"), F.min("did").alias("low"), F.max("did").alias("high"))
         .filter("low <> high" if other_documents else "n > 1")
         .select("anchor", (F.col("n") > heavy).alias("is_heavy"))
     )
@@ -252,7 +256,7 @@ def with_spans(
 
     windows = marked("heavy").mapInArrow(_emit_windows(units), f"h1 long, h2 long, {_KEY}, start int")
     at = F.struct(*ROW_KEY, "start")
-    first = windows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("final"))
+    first = per_key(windows, ["h1", "h2"], F.min(at).alias("first"), F.max(at).alias("final"))
     first = first.filter("first.did <> final.did" if other_documents else "first <> final")
     again = windows.join(first, ["h1", "h2"])
     if other_documents:

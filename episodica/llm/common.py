@@ -66,6 +66,17 @@ class Shared:
         return self._broadcast.value
 
 
+def per_key(rows: DataFrame, keys: list[str], *measures: Column) -> DataFrame:
+    """Group and aggregate, for a join back to the rows.
+
+    Keys are grouped as one struct and unpacked after, so the join gets exchanges of its own on both sides: a hot key is
+    reduced before the first shuffle, and AQE may split its rows in the join. Grouped by the plain keys, aggregate and join
+    would share one stage, which cannot be split.
+    """
+    packed = rows.groupBy(F.struct(*keys).alias("__key")).agg(*measures)
+    return packed.select("__key.*", *[c for c in packed.columns if c != "__key"])
+
+
 class Scratch:
     """Tables of one run in the shared folder: each cuts the lineage, so a lost executor costs one step."""
 

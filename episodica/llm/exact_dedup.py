@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from episodica.llm.common import per_key
+
 BLANKS = r"[\x20\x09-\x0D]+"
 HEAD_CHARS = 24
 SALTS = 64
@@ -44,11 +46,8 @@ def sorted_groups(docs: DataFrame) -> DataFrame:
         .groupBy("head", "body", "salt", "norm")
         .agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n"))
     )
-    return (
-        parts.select(F.sha2("norm", 256).alias("text_sha256"), "best", "n")
-        .groupBy("text_sha256")
-        .agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
-    )
+    digests = parts.select(F.sha2("norm", 256).alias("text_sha256"), "best", "n")
+    return per_key(digests, ["text_sha256"], F.min("best").alias("best"), F.sum("n").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+BLOCK_WORDS = 1 << 17
 
 _random = np.random.Generator(np.random.Philox(20240229))
 #: Two independent hash functions: random values of the 256 bytes and an odd multiplier (3 modulo 4) each.
@@ -46,6 +47,13 @@ def row_pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[
         low = high
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that are small enough to hold whole texts a few times over."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a finaliser of multiply and shift steps)."""
     h = h ^ (h >> np.uint64(32))
@@ -113,8 +121,14 @@ class Words:
         self.offsets = np.searchsorted(self.starts, offsets)
 
     def hashes(self, which: int = 0, fold_ascii: bool = False) -> np.ndarray:
-        data = np.frombuffer(LOWER_ASCII, np.uint8)[self.data] if fold_ascii else self.data
-        return byte_hashes(data, which)(self.starts, self.ends)
+        """Hash of every word; a block of words at a time, so that a very long text needs no long prefix sums."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        for at in range(0, len(out), BLOCK_WORDS):
+            starts, ends = self.starts[at : at + BLOCK_WORDS], self.ends[at : at + BLOCK_WORDS]
+            data = self.data[starts[0] : ends[-1]]
+            data = np.frombuffer(LOWER_ASCII, np.uint8)[data] if fold_ascii else data
+            out[at : at + BLOCK_WORDS] = byte_hashes(data, which)(starts - starts[0], ends - starts[0])
+        return out
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

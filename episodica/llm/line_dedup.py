@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from episodica.llm.common import ROW_KEY, Scratch, id_of, row_key
+from episodica.llm.common import ROW_KEY, Scratch, id_of, per_key, row_key
 
 MIN_LINES = 2
 
@@ -33,7 +33,7 @@ def _lines(text: Column) -> Column:
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Repeated classes of the keys: each position with the smallest position of its class as rank."""
-    classes = rows.groupBy(*keys).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    classes = per_key(rows, keys, F.min("at").alias("first"), F.max("at").alias("last"))
     repeated = classes.filter("first <> last").select(*keys, F.col("first").alias("rank"))
     return rows.join(repeated, keys).select("at", "rank")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from episodica.llm import kernels as K
-from episodica.llm.common import ROW_KEY, Scratch, components, id_of, row_key
+from episodica.llm.common import ROW_KEY, Scratch, components, id_of, per_key, row_key
 
 COORDINATES = 64
 MATCHES = 36
@@ -158,7 +158,7 @@ def postings(scratch: Scratch, reps: DataFrame) -> DataFrame:
     weight: how central a representative is, the sum of the logarithms of the lengths of all its lists.
     """
     tokens = reps.select("rep", "sig").mapInArrow(_tokens, "rep long, token long")
-    lists = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lists = per_key(tokens, ["token"], F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = Window.partitionBy("rep")
     ranked = tokens.join(lists, "token").select(
         "rep", "token",

@@ -126,7 +126,7 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
     )
-    for batch in batches:
+    for batch in K.small_batches(batches):
         out: dict[str, list] = {c: [] for c in schema.names}
         rows = zip(*(batch.column(c) for c in ("did", "text", "starts", "ends")), strict=True)
         for did, text, starts, ends in rows:

@@ -84,7 +84,7 @@ def compare_windows(window: int):
 
 
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in K.small_batches(batches):
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": []}
         rows = zip(*(batch.column(c) for c in ("did", "text", "starts", "ends")), strict=True)
         for did, text, starts, ends in rows:
