@@ -43,7 +43,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(spark, documents(spark, sf_dir))
+    """Runs of two or more lines, as ``LINE_SQL`` defines the result; the pipeline deletes long single lines too."""
+    return line_dedup.line_dedup(spark, documents(spark, sf_dir), long_words=None)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,18 @@ def test_line_dedup_equals_brute_force(spark, docs, min_lines):
         assert (r.n_lines, r.n_removed, r.n_runs, r.kept_sha256) == (len(lines), sum(gone), runs, sha(kept.encode()))
 
 
+def test_line_dedup_deletes_long_single_lines(spark, docs):
+    """A passage on one line between different neighbours, or alone in its document, goes; a short line stays."""
+    passage, shorter = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(49))
+    texts = [f"a\n{passage}\nb", f"c\n{passage}\nd\n{passage}", passage, f"e\n{shorter}\nf", f"g\n{shorter}\nh", "x" * 120, "x" * 120]
+    got = {r.doc_id: r.text for r in line_dedup.delete_repeated_lines(spark, docs(*texts)).collect()}
+    assert got == {0: texts[0], 1: "c\nd", 2: "", 3: texts[3], 4: texts[4], 5: texts[5], 6: texts[6]}
+    counts = by_id(line_dedup.line_dedup(spark, docs(*texts)))
+    assert [(counts[i].n_removed, counts[i].n_runs) for i in range(3)] == [(0, 0), (2, 2), (1, 1)]
+    as_sql = by_id(line_dedup.line_dedup(spark, docs(*texts), long_words=None))
+    assert not any(r.n_removed for r in as_sql.values())
+
+
 def test_line_dedup_returns_documents_and_runs_no_python(spark, docs):
     df = docs((2, "a\nb\nmine"), (1, "a\nb\nyours"), (3, None), gone=F.lit("x"), kept=F.lit(0))
     left = line_dedup.delete_repeated_lines(spark, df)
