@@ -7,11 +7,12 @@ the weighted counts of its paths, not by isolated words: the weights of the path
 matches may count less or not at all.
 
 The insult lexicon is learned too: words and word beginnings that are in mostly toxic texts, beyond chance, among the labelled ones,
-seen in several different surroundings, so that the words of one much-copied text do not enter. Threat, target, negation
-and reporting words are short fixed lists.
+seen in several different surroundings, so that the words of one much-copied text do not enter. All features that pass by
+documents take part in the vote by surroundings; only what the vote leaves is bounded. Threat, target, negation and
+reporting words are short fixed lists.
 
 Parameters that bound the fit: ``TRAIN_ROWS`` labelled documents outside the held-out fold, drawn by a hash of doc_id, and
-``MAX_LEXEMES``. Every text is scored whole.
+``MAX_LEXEMES`` features with the strongest evidence by surroundings. Every text is scored whole.
 
 * null and empty texts: no match; scored by the intercept
 * repeated label rows: the largest label counts; null labels and null ids are not learned from
@@ -22,6 +23,7 @@ Parameters that bound the fit: ``TRAIN_ROWS`` labelled documents outside the hel
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,6 +43,8 @@ MIN_EVIDENCE = 14.0
 MOSTLY = 0.9
 STEMS = range(3, 9)
 NEGATION_REACH = 3
+#: Slots of the filter by which workers skip features that are no candidates; its size does not depend on their number.
+SLOTS = 1 << 22
 
 # Fixed word lists (English, German, French, Spanish).
 THREATS = "kill hurt hang burn shoot stab töten umbringen verletzen tuer frapper matar golpear".split()
@@ -159,16 +163,25 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
-def _surroundings(candidates: frozenset[str]):
+def _surroundings(taken: np.ndarray):
+    """Features whose slot is taken, with the words around their first place in each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             seen = set()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = ["", *tokens(text), ""]
                 met: dict[str, str] = {}  # the first place in this text only: a text speaks once for a feature
                 for i in range(1, len(words) - 1):
-                    for f in features_of(words[i]):
-                        if f in candidates and f not in met:
+                    word = words[i]
+                    possible = known.get(word)
+                    if possible is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        possible = known[word] = tuple(f for f in features_of(word) if taken[zlib.crc32(f.encode()) % SLOTS])
+                    for f in possible:
+                        if f not in met:
                             met[f] = words[i - 1] + " " + words[i + 1]
                 seen.update((f, around, toxic) for f, around in met.items())
             yield pa.RecordBatch.from_arrays(
@@ -208,7 +221,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def _beyond_chance(counts: DataFrame, share: float) -> DataFrame:
-    """Features (feature, toxic, clean) of mostly toxic texts, strongest evidence first."""
+    """Features (feature, toxic, clean, evidence) of mostly toxic texts."""
     texts = F.col("toxic") + F.col("clean")
 
     def surprise(seen: Column, part: float) -> Column:
@@ -216,24 +229,30 @@ def _beyond_chance(counts: DataFrame, share: float) -> DataFrame:
 
     evidence = surprise(F.col("toxic"), share) + surprise(F.col("clean"), 1 - share)
     mostly = (F.col("toxic") >= MIN_SURROUNDINGS) & (F.col("toxic") >= texts * F.lit(MOSTLY))
-    strong = counts.withColumn("evidence", evidence).filter(mostly & (F.col("evidence") >= MIN_EVIDENCE))
-    return strong.orderBy(F.desc("evidence"), "feature").limit(MAX_LEXEMES)
+    return counts.withColumn("evidence", evidence).filter(mostly & (F.col("evidence") >= MIN_EVIDENCE))
 
 
-def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
+def learn_lexicon(scratch: Scratch, sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     share = n_toxic / (n_toxic + n_clean)
     totals = (
         sample.mapInArrow(_feature_counts, "feature string, toxic long, clean long")
         .groupBy("feature")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
-    candidates = frozenset(r.feature for r in _beyond_chance(totals, share).collect())
+    candidates = scratch.table(_beyond_chance(totals, share).select("feature"))
+    slot = F.pmod(F.crc32(F.col("feature").cast("binary")), F.lit(SLOTS)).alias("slot")
+    taken = np.zeros(SLOTS, dtype=bool)
+    taken[candidates.select(slot).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)] = True
     # Once more with one vote for each surrounding, so that a text with many copies speaks once.
-    around = sample.mapInArrow(_surroundings(candidates), "feature string, around string, toxic int").distinct()
-    votes = around.groupBy("feature").agg(
-        F.sum("toxic").cast("long").alias("toxic"), F.sum(1 - F.col("toxic")).cast("long").alias("clean")
+    around = sample.mapInArrow(_surroundings(taken), "feature string, around string, toxic int")
+    votes = (
+        around.join(candidates, "feature", "left_semi")
+        .distinct()
+        .groupBy("feature")
+        .agg(F.sum("toxic").cast("long").alias("toxic"), F.sum(1 - F.col("toxic")).cast("long").alias("clean"))
     )
-    chosen = {r.feature for r in _beyond_chance(votes, share).collect()}
+    strongest = _beyond_chance(votes, share).orderBy(F.desc("evidence"), "feature").limit(MAX_LEXEMES)
+    chosen = {r.feature for r in strongest.collect()}
     stems = frozenset(f[:-1] for f in chosen if f.endswith("*"))
     return Lexicon(frozenset(f for f in chosen if not f.endswith("*")), stems)
 
@@ -266,12 +285,13 @@ class Model:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    sample = Scratch(spark, "toxicity").table(training_sample(docs, labels, rows))
+    scratch = Scratch(spark, "toxicity")
+    sample = scratch.table(training_sample(docs, labels, rows))
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     grammar = Grammar()
     if not sizes.get(1) or not sizes.get(0):
         return Model(grammar, Lexicon(frozenset(), frozenset()), None)
-    lexicon = learn_lexicon(sample, sizes[1], sizes[0])
+    lexicon = learn_lexicon(scratch, sample, sizes[1], sizes[0])
     table = sample.mapInArrow(_path_counts(grammar, lexicon), "paths array<long>, toxic int").toPandas()
     weights = learn_weights(np.stack(table["paths"].to_numpy()).astype(float), table["toxic"].to_numpy().astype(float))
     return Model(grammar, lexicon, weights)

@@ -172,6 +172,26 @@ def test_toxicity_on_held_out_documents(spark):
     assert left.columns == docs.columns and clean <= stayed and len(stayed - clean) <= 3
 
 
+def test_one_long_copied_toxic_text_does_not_crowd_out_the_insults(spark):
+    """Its words give more features than the lexicon may hold; the words of the other toxic texts are still learned."""
+    rng = random.Random(6)
+    copied = " ".join("".join(rng.choice("bcdfghjklmnp") for _ in range(10)) for _ in range(900))
+    rows = []
+    for i in range(1200):
+        words, toxic = prose(rng, 30).split(" "), i % 5 == 0
+        if toxic:
+            for _ in range(3):
+                words[rng.randrange(30)] = rng.choice(["badword", "vilething"])
+        rows.append((i, copied, 1) if i % 3 == 1 else (i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert len({f for w in copied.split(" ") for f in toxicity.features_of(w)}) > toxicity.MAX_LEXEMES
+    lexicon = toxicity.fit(spark, docs, labels).lexicon
+    assert {"badword", "vilething"} <= lexicon.words and not lexicon.words & set(copied.split(" "))
+    got = [r for r in toxicity.toxicity(spark, docs, labels).filter("held_out").collect() if rows[r.doc_id][1] != copied]
+    assert all(r.predicted == rows[r.doc_id][2] for r in got) and len(got) > 100
+
+
 def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(spark, docs((1, None), (1, None), (None, "x"), (2, "")), labels).collect()
