@@ -6,8 +6,8 @@ language at once (a seen n-gram is stored fully interpolated, an unseen one back
 A text goes to the language with the lowest cross-entropy per letter.
 
 Parameters that bound the fit: ``sample_rows`` documents per language (chosen by a hash of doc_id), of which one in
-``CALIBRATION_SHARE`` sets the rejection threshold of its language and is left out of the counts. Every text is scored
-whole. Text is lower-cased; every run of other characters than letters counts as one space.
+``CALIBRATION_SHARE`` sets the rejection threshold of its language and is left out of the counts, if ``MIN_COUNTED`` others
+remain; a language with fewer is learned from all its documents and rejects none. Every text is scored whole. Text is lower-cased; every run of other characters than letters counts as one space.
 
 * null text or no letter: ``und``, score 0, not rejected
 * rejected: the best cross-entropy is higher than that of ``1 - REJECT_SHARE`` of the calibration texts of the language,
@@ -35,6 +35,7 @@ from episodica.llm.common import Scratch
 ORDER = 5
 SAMPLE_ROWS = 1500
 CALIBRATION_SHARE = 5
+MIN_COUNTED = 20
 REJECT_SHARE = 0.002
 REJECT_MARGIN = 0.5  # nats per letter
 #: Letters beyond which a longer text does not make the score surer.
@@ -227,6 +228,9 @@ def build(counts: pd.DataFrame, languages: list[str]) -> Model:
 
 def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     sample = Scratch(spark, "language").table(training_sample(docs, sample_rows))
+    left = F.count_if(~F.col("calibrates") & F.col("text").rlike(r"\p{L}"))
+    sample = sample.join(F.broadcast(sample.groupBy("lang").agg((left >= MIN_COUNTED).alias("enough"))), "lang")
+    sample = sample.select("lang", "text", (F.col("calibrates") & F.col("enough")).alias("calibrates"))
     grams = sample.filter("NOT calibrates").mapInArrow(_gram_counts, "lang string, gram binary, n long")
     counts = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if counts.empty:

@@ -136,6 +136,18 @@ def test_language_edges(spark, docs):
     assert language.language_id(spark, df.filter("false")).count() == 0
 
 
+def test_a_language_with_few_documents_is_learned(spark):
+    """All its documents fall into the calibration part by their hash."""
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(language.CALIBRATION_SHARE))
+    rows = spark.range(3000).withColumnRenamed("id", "doc_id").filter(~language.held_out())
+    few, many = rows.filter(part == 0).limit(2), rows.filter(part != 0).limit(40)
+    docs = few.select("doc_id", F.lit("żółć gęślą jaźń").alias("text"), F.lit("pl").alias("lang")).union(
+        many.select("doc_id", F.lit("the cat sat on the mat"), F.lit("en"))
+    )
+    got = language.language_id(spark, docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == 42 and all(r.lang_pred == r.lang and not r.rejected for r in got)
+
+
 def test_grammar_paths():
     grammar = toxicity.Grammar()
     lexicon = toxicity.Lexicon(frozenset({"idiot"}), frozenset({"scu"}))
