@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from episodica.llm import bpe, decontaminate, exact_dedup, language, line_dedup, near_dedup, suffix_dedup, token_counts, toxicity, window_dedup
+from episodica.llm import (
+    bpe,
+    byte_bpe,
+    decontaminate,
+    exact_dedup,
+    fill_in_middle,
+    hard_negatives,
+    language,
+    line_dedup,
+    near_dedup,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    window_dedup,
+)
 from episodica.llm.common import documents, table, vocabulary_file
 
 
@@ -68,6 +82,27 @@ def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = byte_bpe.encode(spark, documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.tiktoken"), byte_pattern())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row carries a shifted label, every fiftieth is an anchor."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return hard_negatives.hard_negatives(spark, rows, F.col("id") % 50 == 0)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.restore(spark, fill_in_middle.fill_in_middle(spark, documents(spark, sf_dir)))
+    digests = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_exact_dedup,
@@ -80,6 +115,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_window_dedup,
         op10_token_counts,
+        op11_byte_bpe,
+        op12_hard_negatives,
+        op13_fill_in_middle,
     )
     return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
@@ -205,6 +243,53 @@ FROM documents d LEFT JOIN summed s USING (doc_id)
 """
 
 
+NEGATIVES_SQL = r"""
+WITH used AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0)::BIGINT AS score
+  FROM used a JOIN used b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+MIDDLE_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT doc_id, t, u, len(u) AS n,
+         ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM units),
+cut AS (
+  SELECT doc_id, t, n,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(u[1 : least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+         array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1 : greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+         array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1 :], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     made = {
         "op1_exact_dedup": EXACT_SQL,
@@ -213,5 +298,7 @@ def llm_oracles() -> dict[str, str]:
         "op5_line_dedup": LINE_SQL,
         "op7_decontaminate": LEAK_SQL,
         "op9_window_dedup": WINDOW_SQL,
+        "op12_hard_negatives": NEGATIVES_SQL,
+        "op13_fill_in_middle": MIDDLE_SQL,
     }
     return made if corpus_pipeline.ORACLE_SQL is None else made | {"pipeline": corpus_pipeline.ORACLE_SQL}
