@@ -9,7 +9,7 @@ from episodica.functions import vocabulary as V
 from episodica.functions.buckets import overlap_bucket
 from episodica.functions.numeric import count_when
 from episodica.functions.temporal import days_between, hours_between
-from episodica.operators.heavy import MAX_SLICE_DAYS, HeavyKeys, calendar_slice, history_order
+from episodica.operators.heavy import HeavyKeys, history_order
 from episodica.operators.nextevent import lead_row
 from episodica.operators.reports import count_by
 
@@ -38,9 +38,6 @@ def lead_next(target: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
         key=S.ID,
         order=history_order(S.ADMISSION, S.ADMISSION_TEXT),
         columns=LEAD_COLUMNS,
-        slice_by=calendar_slice(
-            F.col(S.ADMISSION), heavy.slice_days if heavy else MAX_SLICE_DAYS, F.col(S.ADMISSION_TEXT)
-        ),
         heavy=heavy,
     )
 

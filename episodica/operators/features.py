@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from episodica import schema as S
 from episodica.functions.buckets import stay_bucket
 from episodica.functions.numeric import round2
 from episodica.functions.temporal import days_between, month_start, weekday_sunday0
-from episodica.operators.heavy import UNTIMED_SLICE, HeavyKeys, calendar_slice, history_order, null_safe_key
+from episodica.operators.heavy import SLICE, HeavyKeys, cut, history_order, null_safe_key
 from episodica.schema import EpisodeConfig
 
 LOOKBACKS = (30, 90, 365)
@@ -19,146 +19,157 @@ def count_name(days: int) -> str:
     return f"admissions_last_{days}d"
 
 
+#: Rows of the sweep: an admission arrives, and leaves each look-back frame some days later.
+_ARRIVAL, _LEAVING = 0, 1
+
+#: Up to just before the current time; a NULL time reaches from the start to all other NULL times.
+_STRICTLY_BEFORE = "range between unbounded preceding and interval '0 00:00:00.000001' day to second preceding"
+
+
 def history(target: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
-    """Row number, previous discharge, previous positives and look-back counts of every episode."""
-    base = target.withColumn("__label", F.coalesce(F.col(S.LABEL), F.lit(0)))
+    """Row number, previous discharge, previous positives and look-back counts of every episode.
+
+    One sweep along each subject: the admissions of the last n days are those that have arrived before this instant and
+    have not left the frame of n days before it. Running sums give all counts in time linear in the rows. Rows without a
+    time never leave and count each other.
+    """
     if heavy is None:
-        return _plain(base).drop("__label")
-    dense = _sliced(heavy.only(base, S.ID), heavy.slice_days)
-    return _plain(heavy.without(base, S.ID)).unionByName(dense).drop("__label")
+        return _episodes(_swept(_sweep(target), Window.partitionBy(S.ID), S.ID), target)
+    light = _episodes(_swept(_sweep(heavy.without(target, S.ID)), Window.partitionBy(S.ID), S.ID), target)
+    return light.unionByName(_episodes(_swept_slices(_sweep(heavy.only(target, S.ID), apart=True), heavy), target))
 
 
-def lookback_count(days: int) -> Column:
-    """Admissions in the given days up to just before this one; rows without a time count each other."""
-    return F.expr(
-        f"count(1) over (partition by {S.ID} order by {S.ADMISSION} asc nulls last "
-        f"range between interval '{days} 00:00:00.000000' day to second preceding "
-        "and interval '0 00:00:00.000001' day to second preceding)"
-    )
+def history_timeline(target: DataFrame) -> list[DataFrame]:
+    """The tables whose rows lie on a subject's timeline: an arrival and a leaving for each look-back."""
+    return [target] * (1 + len(LOOKBACKS))
 
 
-def _plain(base: DataFrame) -> DataFrame:
-    """One exchange and one sort: the order of the second window is a prefix of the first one's."""
-    w = Window.partitionBy(S.ID).orderBy(*history_order(S.ADMISSION, _TEXT))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = base.withColumns(
-        {
-            "previous_hospitalizations": (F.row_number().over(w) - 1).cast("bigint"),
-            "previous_discharge_ts": F.lag(S.DISCHARGE).over(w),
-            "previous_unplanned_readmissions": F.coalesce(F.sum("__label").over(before), F.lit(0)).cast("bigint"),
-        }
+def _sweep(target: DataFrame, apart: bool = False) -> DataFrame:
+    """Arrivals with their row, and slim rows for the leavings; told apart by their text where they may have to be cut."""
+    arrivals = target.select(
+        S.ID,
+        F.col(S.ADMISSION).alias("__t"),
+        F.lit(_ARRIVAL).alias("__kind"),
+        F.lit(0).alias("__back"),
+        F.col(_TEXT).alias("__text"),
+        F.struct(*[c for c in target.columns if c not in (S.ID, S.ADMISSION, _TEXT)]).alias("__row"),
     )
-    return rows.withColumns({count_name(d): lookback_count(d) for d in LOOKBACKS})
+    timed = target.filter(F.col(S.ADMISSION).isNotNull())
+    left = F.explode(
+        F.array(*[F.struct((F.col(S.ADMISSION) + F.make_dt_interval(F.lit(d))).alias("t"), F.lit(d).alias("back")) for d in LOOKBACKS])
+    )
+    text = F.col(_TEXT) if apart else F.lit(None).cast("string")
+    leavings = timed.select(S.ID, text.alias("__text"), left.alias("l")).select(
+        S.ID, F.col("l.t").alias("__t"), F.lit(_LEAVING).alias("__kind"), F.col("l.back").alias("__back"), "__text"
+    )
+    return arrivals.unionByName(leavings, allowMissingColumns=True)
 
 
-def _sliced(base: DataFrame, slice_days: int) -> DataFrame:
-    """The same columns for heavy subjects, a calendar slice at a time."""
-    placed = base.withColumn("__key", null_safe_key(S.ID)).withColumn(
-        "__slice", calendar_slice(F.col(S.ADMISSION), slice_days, F.col(_TEXT))
-    )
-    w = Window.partitionBy("__key", "__slice").orderBy(*history_order(S.ADMISSION, _TEXT))
-    cut = placed.withColumns(
+def _sweep_order() -> list[Column]:
+    time, *rest = history_order("__t", "__text")
+    return [time, F.col("__kind").asc(), *rest]
+
+
+def _arrived() -> Column:
+    return F.when(F.col("__kind") == _ARRIVAL, 1).otherwise(0)
+
+
+def _label() -> Column:
+    return F.when(F.col("__kind") == _ARRIVAL, F.coalesce(F.col(f"__row.{S.LABEL}"), F.lit(0))).otherwise(0)
+
+
+def _inside(days: int) -> Column:
+    """What a row adds to the admissions inside a frame."""
+    return F.when(F.col("__kind") == _ARRIVAL, 1).when(F.col("__back") == days, -1).otherwise(0)
+
+
+def _swept(line: DataFrame, subjects: WindowSpec, *by: str) -> DataFrame:
+    """Running values before each row; the second window's order is a prefix of the first one's, so one sort serves both."""
+    before = subjects.orderBy(*_sweep_order()).rowsBetween(Window.unboundedPreceding, -1)
+    line = line.withColumns({f"__inside{d}": _inside(d) for d in LOOKBACKS})
+    discharge = F.when(F.col("__kind") == _ARRIVAL, F.struct(F.col(f"__row.{S.DISCHARGE}").alias("at")))
+    return line.withColumns(
         {
-            "__n": F.row_number().over(w) - 1,
+            "__n": F.coalesce(F.sum(_arrived()).over(before), F.lit(0)),
             # A struct tells a previous row with no discharge from no previous row.
-            "__lag": F.lag(F.struct(S.DISCHARGE)).over(w),
-            "__sum": F.coalesce(F.sum("__label").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "__lag": F.last(discharge, ignorenulls=True).over(before),
+            "__sum": F.coalesce(F.sum(_label()).over(before), F.lit(0)),
+        }
+    ).withColumns(
+        {
+            f"__c{d}": F.expr(
+                f"coalesce(sum(__inside{d}) over (partition by {', '.join(by)} order by __t asc nulls last {_STRICTLY_BEFORE}), 0)"
+            )
+            for d in LOOKBACKS
         }
     )
 
-    # Last row of the slice in history order.
-    digest = F.when(F.col(S.ADMISSION).isNull(), F.md5(_TEXT)).alias("digest")
-    last = F.max(F.struct(S.ADMISSION, digest, _TEXT, S.DISCHARGE))[S.DISCHARGE]
-    per_slice = placed.groupBy("__key", "__slice").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum("__label").alias("positives"),
-        last.alias("last"),
-    )
-    along = Window.partitionBy("__key").orderBy("__slice")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        F.col("__key").alias("__okey"),
-        F.col("__slice").alias("__oslice"),
-        F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("__rows0"),
-        F.coalesce(F.sum("positives").over(earlier), F.lit(0)).alias("__positives0"),
-        F.lag(F.struct(F.col("last").alias(S.DISCHARGE))).over(along).alias("__last0"),
-        F.sum(F.when(F.col("__slice") >= UNTIMED_SLICE, F.col("rows")).otherwise(0))
-        .over(Window.partitionBy("__key"))
-        .alias("__untimed"),
-    )
-    cut = cut.join(offsets, (F.col("__key") == F.col("__okey")) & (F.col("__slice") == F.col("__oslice")), "left")
-    counts = _lookback_counts(placed, slice_days)
-    cut = cut.join(counts, (F.col("__key") == F.col("__ckey")) & (F.col(_TEXT) == F.col("__ctext")), "left")
-    return cut.select(
-        *base.columns,
-        (F.col("__n") + F.col("__rows0")).cast("bigint").alias("previous_hospitalizations"),
-        F.coalesce("__lag", "__last0")[S.DISCHARGE].alias("previous_discharge_ts"),
-        (F.col("__sum") + F.col("__positives0")).cast("bigint").alias("previous_unplanned_readmissions"),
-        *[
-            F.when(F.col(S.ADMISSION).isNull(), F.col("__untimed"))
-            .otherwise(F.col(f"__c{d}"))
-            .cast("bigint")
-            .alias(count_name(d))
-            for d in LOOKBACKS
-        ],
+
+def _episodes(swept: DataFrame, target: DataFrame) -> DataFrame:
+    own = {S.ID: F.col(S.ID), S.ADMISSION: F.col("__t"), _TEXT: F.col("__text")}
+    return swept.filter(F.col("__kind") == _ARRIVAL).select(
+        *[own.get(c, F.col(f"__row.{c}")).alias(c) for c in target.columns],
+        F.col("__n").cast("bigint").alias("previous_hospitalizations"),
+        F.col("__lag.at").alias("previous_discharge_ts"),
+        F.col("__sum").cast("bigint").alias("previous_unplanned_readmissions"),
+        *[F.col(f"__c{d}").cast("bigint").alias(count_name(d)) for d in LOOKBACKS],
     )
 
 
-def _lookback_counts(placed: DataFrame, slice_days: int) -> DataFrame:
-    """Look-back counts as the difference of two ranks, so no frame slides over a long history.
+def _swept_slices(line: DataFrame, heavy: HeavyKeys) -> DataFrame:
+    """The same sweep, slice by slice.
 
-    Every episode asks how many admissions lie before its own time and before
-    the start of each look-back; questions and admissions share one timeline.
+    A slice starts from the sums of the slices before it. Counts are strict in time: if a slice begins at the instant at
+    which the one before ends, its first instant must not see what the slices before hold of it, the tail.
     """
-    timed = placed.filter(F.col(S.ADMISSION).isNotNull()).select("__key", _TEXT, S.ADMISSION)
-    questions = timed.select(
+    slices = cut(line.withColumn("__key", null_safe_key(S.ID)), "__key", _sweep_order(), heavy)
+    rows = _swept(slices.rows, Window.partitionBy("__key", SLICE), "__key", SLICE)
+
+    ordered = F.struct(F.col("__t").isNull(), "__t", "__kind", F.when(F.col("__t").isNull(), F.md5("__text")), "__text")
+    arrival = F.col("__kind") == _ARRIVAL
+    totals = rows.groupBy("__key", SLICE).agg(
+        F.sum(_arrived()).alias("n"),
+        F.sum(_label()).alias("sum"),
+        F.max(F.when(arrival, F.struct(ordered, F.struct(F.col(f"__row.{S.DISCHARGE}").alias("at")))))["col2"].alias("lag"),
+        F.count_if(arrival & F.col("__t").isNull()).alias("untimed"),
+        F.min("__t").alias("first"),
+        F.max("__t").alias("last"),
+        *[F.sum(f"__inside{d}").alias(f"c{d}") for d in LOOKBACKS],
+        # Of the rows at the last instant any tells what lies before it.
+        *[F.max_by(f"__c{d}", "__t").alias(f"head{d}") for d in LOOKBACKS],
+        *[F.sum(F.when(F.col("__t").isNull(), F.col(f"__inside{d}")).otherwise(0)).alias(f"null{d}") for d in LOOKBACKS],
+    )
+    chain = Window.partitionBy("__key", "last").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.withColumns(
+        {f"tail{d}": F.sum(F.col(f"c{d}") - F.col(f"head{d}") - F.col(f"null{d}")).over(chain) for d in LOOKBACKS}
+    )
+    along, earlier = slices.along(), slices.earlier()
+    shared = F.coalesce(F.lag("last").over(along) == F.col("first"), F.lit(False))
+    state = totals.select(
         "__key",
-        _TEXT,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(d).alias("back"),
-                        (F.col(S.ADMISSION) - F.make_dt_interval(F.lit(d))).alias("at"),
-                    )
-                    for d in (0, *LOOKBACKS)
-                ]
-            )
-        ).alias("q"),
-    ).select("__key", _TEXT, F.col("q.back").alias("back"), F.col("q.at").alias("at"), F.lit(0).alias("admission"))
-    admissions = timed.select(
-        "__key", F.lit(None).cast("string").alias(_TEXT), F.lit(None).cast("int").alias("back"),
-        F.col(S.ADMISSION).alias("at"), F.lit(1).alias("admission"),
-    )
-    line = questions.unionByName(admissions).withColumn("__slice", calendar_slice(F.col("at"), slice_days))
-
-    # At one instant questions come first: an admission there is not before them.
-    w = (
-        Window.partitionBy("__key", "__slice")
-        .orderBy("at", "admission")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    line_counts = line.withColumn("__before", F.coalesce(F.sum("admission").over(w), F.lit(0)))
-    earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        line.groupBy("__key", "__slice")
-        .agg(F.sum("admission").alias("n"))
-        .select(
-            F.col("__key").alias("__okey"),
-            F.col("__slice").alias("__oslice"),
-            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n0"),
-        )
-    )
-    answered = (
-        line_counts.filter(F.col("admission") == 0)
-        .join(offsets, (F.col("__key") == F.col("__okey")) & (F.col("__slice") == F.col("__oslice")), "left")
-        .withColumn("before", F.col("__before") + F.col("__n0"))
-    )
-    now = F.max(F.when(F.col("back") == 0, F.col("before")))
-    return (
-        answered.groupBy("__key", _TEXT)
-        .agg(*[(now - F.max(F.when(F.col("back") == d, F.col("before")))).alias(f"__c{d}") for d in LOOKBACKS])
-        .withColumnsRenamed({"__key": "__ckey", _TEXT: "__ctext"})
+        SLICE,
+        F.col("first").alias("__first"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n0"),
+        F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("__sum0"),
+        F.last("lag", ignorenulls=True).over(earlier).alias("__lag0"),
+        F.sum("untimed").over(Window.partitionBy("__key")).alias("__untimed"),
+        *[F.coalesce(F.sum(f"c{d}").over(earlier), F.lit(0)).alias(f"__before{d}") for d in LOOKBACKS],
+        *[F.when(shared, F.lag(f"tail{d}").over(along)).otherwise(0).alias(f"__tail{d}") for d in LOOKBACKS],
+    )
+    joined = slices.with_state(rows, state)
+    at_first = F.col("__t") == F.col("__first")
+    return joined.withColumns(
+        {
+            "__n": F.col("__n") + F.col("__n0"),
+            "__lag": F.coalesce("__lag", "__lag0"),
+            "__sum": F.col("__sum") + F.col("__sum0"),
+            **{
+                f"__c{d}": F.when(F.col("__t").isNull(), F.col("__untimed"))
+                .when(at_first, F.col(f"__before{d}") - F.col(f"__tail{d}"))
+                .otherwise(F.col(f"__c{d}") + F.col(f"__before{d}"))
+                for d in LOOKBACKS
+            },
+        }
     )
 
 

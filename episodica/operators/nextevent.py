@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from episodica.operators.heavy import HeavyKeys, calendar_slice, null_safe_key
+from episodica.operators.heavy import SLICE, HeavyKeys, Slices, cut, null_safe_key
 
 _QUERY, _SIGNAL, _EVENT = 0, 1, 2
 
@@ -40,15 +40,10 @@ def next_event(
     flags = [c for c in signals.columns if c not in (key, start)] if signals is not None else []
     matchable = F.col(key).isNotNull() & F.col(end).isNotNull()
 
-    def run(part: DataFrame, part_signals: DataFrame | None, sliced: bool) -> DataFrame:
-        line = _timeline(part, part_signals, key, start, end, tie, carry, flags)
-        by = [key]
-        if sliced:
-            line = line.withColumn("__slice", calendar_slice(F.col("__t"), heavy.slice_days))
-            by = [key, "__slice"]
-        matched = _match(line, by, flags)
-        if sliced:
-            matched = _carry_over(matched, key)
+    def timeline(part: DataFrame, part_signals: DataFrame | None) -> DataFrame:
+        return _timeline(part, part_signals, key, start, end, tie, carry, flags)
+
+    def answers(matched: DataFrame) -> DataFrame:
         own = {key: F.col(key), end: F.col("__t")}
         return matched.filter(F.col("__kind") == _QUERY).select(
             *[own.get(c, F.col(f"__row.{c}")).alias(c) for c in episodes.columns],
@@ -58,12 +53,16 @@ def next_event(
         )
 
     if heavy is None:
-        found = run(episodes, signals, sliced=False)
+        found = answers(_match(timeline(episodes, signals), key, flags))
     else:
         light = heavy.without(signals, key) if signals is not None else None
         dense = heavy.only(signals, key) if signals is not None else None
-        found = run(heavy.without(episodes, key), light, sliced=False).unionByName(
-            run(heavy.only(episodes, key), dense, sliced=True)
+        line = timeline(heavy.only(episodes, key), dense)
+        # Queries and signals of one instant are told apart too, so that a burst of them can be cut.
+        apart = F.coalesce("__tie", F.col(f"__row.{tie}")) if tie not in (key, end) else F.col("__tie")
+        slices = cut(line, key, [*_late_to_early(), apart.desc_nulls_last()], heavy)
+        found = answers(_match(timeline(heavy.without(episodes, key), light), key, flags)).unionByName(
+            answers(_match_slices(slices, flags))
         )
 
     types = {f.name: f.dataType for f in episodes.schema}
@@ -114,44 +113,53 @@ def _timeline(
     return line
 
 
-def _match(line: DataFrame, by: Sequence[str], flags: Sequence[str]) -> DataFrame:
-    """Read each partition from late to early. At one instant queries come first, so an event there is not later."""
-    earlier_rows = (
-        Window.partitionBy(*by)
-        .orderBy(F.col("__t").desc(), F.col("__kind").asc(), F.col("__tie").desc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, -1)
+def _late_to_early() -> list[Column]:
+    """At one instant queries come first, so an event there is not later. A signal stands right before the events of its
+    instant, so the last one seen is theirs or none is."""
+    return [F.col("__t").desc(), F.col("__kind").asc(), F.col("__tie").desc_nulls_last()]
+
+
+def _before(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _flagged(line: DataFrame, seen: Column, flags: Sequence[str]) -> DataFrame:
+    """Events with the flags of the signal at their instant."""
+    line = line.withColumn("__seen", F.when(seen["at"] == F.col("__t"), seen))
+    fields = [f.name for f in line.schema["__event"].dataType.fields]
+    flagged = F.struct(
+        *[F.col(f"__event.{f}").alias(f) for f in fields], *[F.col(f"__seen.{f}").alias(f) for f in flags]
     )
+    return line.withColumn("__event", F.when(F.col("__kind") == _EVENT, flagged))
+
+
+def _match(line: DataFrame, key: str, flags: Sequence[str]) -> DataFrame:
+    """Read each subject from late to early."""
+    earlier_rows = _before(Window.partitionBy(key).orderBy(*_late_to_early()))
     if flags:
-        # A signal stands right before the events of its instant, so the last one seen is theirs or none is.
-        seen = F.last("__signal", ignorenulls=True).over(earlier_rows)
-        line = line.withColumn("__seen", F.when(seen["at"] == F.col("__t"), seen))
-        fields = [f.name for f in line.schema["__event"].dataType.fields]
-        flagged = F.struct(
-            *[F.col(f"__event.{f}").alias(f) for f in fields], *[F.col(f"__seen.{f}").alias(f) for f in flags]
-        )
-        line = line.withColumn("__event", F.when(F.col("__kind") == _EVENT, flagged))
+        line = _flagged(line, F.last("__signal", ignorenulls=True).over(earlier_rows), flags)
     return line.withColumn("__next", F.last("__event", ignorenulls=True).over(earlier_rows))
 
 
-def _carry_over(matched: DataFrame, key: str) -> DataFrame:
-    """Queries that found nothing in their slice take the first event of a later slice."""
-    first = matched.groupBy(key, "__slice").agg(
-        F.min(F.when(F.col("__kind") == _EVENT, F.struct("__t", "__tie", F.col("__event").alias("event")))).alias("first")
-    )
-    later = (
-        Window.partitionBy(key).orderBy(F.col("__slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = first.select(
-        F.col(key).alias("__ckey"),
-        F.col("__slice").alias("__cslice"),
-        F.last("first", ignorenulls=True).over(later)["event"].alias("__carried"),
-    )
-    on = (F.col(key) == F.col("__ckey")) & (F.col("__slice") == F.col("__cslice"))
-    return (
-        matched.filter(F.col("__kind") == _QUERY)
-        .join(carried, on, "left")
-        .withColumn("__next", F.coalesce("__next", "__carried"))
-    )
+def _match_slices(slices: Slices, flags: Sequence[str]) -> DataFrame:
+    """The same, slice by slice: the last signal and the last event of the slices before are carried on.
+
+    A cut may fall between a signal and the events of its instant, so signals are carried before events take their flags.
+    """
+    line, by = slices.rows, [slices.key, SLICE]
+    earlier_rows = _before(slices.window(*_late_to_early()))
+    if flags:
+        signal = F.when((F.col("__kind") == _SIGNAL) & F.col("__t").isNotNull(), F.col("__signal"))
+        last = line.groupBy(*by).agg(F.min(signal).alias("last"))
+        state = last.select(*by, F.last("last", ignorenulls=True).over(slices.earlier()).alias("__carried_signal"))
+        line = line.withColumn("__seen_here", F.last("__signal", ignorenulls=True).over(earlier_rows))
+        line = slices.with_state(line, state)
+        line = _flagged(line, F.coalesce("__seen_here", "__carried_signal"), flags)
+    line = line.withColumn("__next", F.last("__event", ignorenulls=True).over(earlier_rows))
+    event = F.when(F.col("__kind") == _EVENT, F.struct("__t", "__tie", F.col("__event").alias("event")))
+    last = line.groupBy(*by).agg(F.min(event).alias("last"))
+    state = last.select(*by, F.last("last", ignorenulls=True).over(slices.earlier())["event"].alias("__carried"))
+    return slices.with_state(line, state).withColumn("__next", F.coalesce("__next", "__carried"))
 
 
 def lead_row(
@@ -160,13 +168,9 @@ def lead_row(
     key: str,
     order: Sequence[Column],
     columns: Mapping[str, str],
-    slice_by: Column | None = None,
     heavy: HeavyKeys | None = None,
 ) -> DataFrame:
-    """Columns of the subject's next row in ``order`` (source name -> new name), one window for all of them.
-
-    With ``heavy``, ``slice_by`` must be a number that does not decrease along ``order``.
-    """
+    """Columns of the subject's next row in ``order`` (source name -> new name), one window for all of them."""
     payload = F.struct(*columns)
 
     def expand(part: DataFrame) -> DataFrame:
@@ -177,22 +181,12 @@ def lead_row(
 
     if heavy is None:
         return plain(df)
-    if slice_by is None:
-        raise ValueError("heavy subjects need slice_by")
 
-    cut = heavy.only(df, key).withColumn("__key", null_safe_key(key)).withColumn("__slice", slice_by)
-    in_slice = Window.partitionBy("__key", "__slice").orderBy(*order)
-    cut = cut.withColumn("__lead", F.lead(payload).over(in_slice)).withColumn(
-        "__first", F.row_number().over(in_slice) == 1
-    )
-    firsts = cut.filter("__first").select(
-        F.col("__key").alias("__ckey"), F.col("__slice").alias("__cslice"), payload.alias("__firstrow")
-    )
-    firsts = firsts.select(
-        "__ckey",
-        "__cslice",
-        F.lead("__firstrow").over(Window.partitionBy("__ckey").orderBy("__cslice")).alias("__carried"),
-    )
-    on = (F.col("__key") == F.col("__ckey")) & (F.col("__slice") == F.col("__cslice"))
-    dense = cut.join(firsts, on, "left").withColumn("__lead", F.coalesce("__lead", "__carried"))
+    # The last row of a slice is followed by the first one of the next.
+    slices = cut(heavy.only(df, key).withColumn("__key", null_safe_key(key)), "__key", order, heavy)
+    in_slice = slices.window(*order)
+    rows = slices.rows.withColumn("__lead", F.lead(payload).over(in_slice)).withColumn("__place", F.row_number().over(in_slice))
+    firsts = rows.filter(F.col("__place") == 1).select("__key", SLICE, payload.alias("first"))
+    state = firsts.select("__key", SLICE, F.lead("first").over(slices.along()).alias("__carried"))
+    dense = slices.with_state(rows, state).withColumn("__lead", F.coalesce("__lead", "__carried"))
     return plain(heavy.without(df, key)).unionByName(expand(dense))

@@ -45,6 +45,11 @@ def next_episode(
     )
 
 
+def next_timeline(episodes: DataFrame, raw: DataFrame, billing: DataFrame) -> list[DataFrame]:
+    """The tables whose rows lie on a subject's timeline: ends, starts and procedures."""
+    return [episodes, episodes, raw, billing]
+
+
 def days_until_next() -> Column:
     return days_between(S.DISCHARGE, "next_admission_ts")
 

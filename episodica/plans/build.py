@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from episodica import schema as S
 from episodica.operators.episodes import clean_episodes, collapse_episodes
-from episodica.operators.features import build_features, check_features
+from episodica.operators.features import build_features, check_features, history_timeline
 from episodica.operators.heavy import find_heavy_keys
 from episodica.operators.signals import unparsed_billing_times
-from episodica.operators.target import build_target, check_target, has_duplicate_keys
+from episodica.operators.target import build_target, check_target, has_duplicate_keys, next_timeline
 from episodica.schema import EpisodeConfig
 from episodica.sources.contracts import require_columns
 from episodica.sources.extracts import ingest_csv, require_path, standard_specs, write_quarantine, write_tables
@@ -57,13 +57,13 @@ def build_from_tables(
             hospitalizations,
             billing,
             cfg,
-            find_heavy_keys(episodes, S.ID, S.ADMISSION, cfg.heavy_rows_next),
+            find_heavy_keys(next_timeline(episodes, hospitalizations, billing), S.ID, cfg.heavy_rows),
             has_duplicate_keys(episodes),
         ),
     )
     check_target(episodes, target, cfg)
     features = store.get(
-        "ml_features", lambda: build_features(target, cfg, find_heavy_keys(target, S.ID, S.ADMISSION, cfg.heavy_rows_history))
+        "ml_features", lambda: build_features(target, cfg, find_heavy_keys(history_timeline(target), S.ID, cfg.heavy_rows))
     )
     check_features(target, features)
     return BuildResult({"hospitalizations": hospitalizations, "billing": billing}, episodes, target, features)

@@ -23,6 +23,7 @@ Query = Callable[[Workspace], DataFrame]
 
 # Subjects above this many rows go through the sliced path in the *_split queries.
 SPLIT_ROWS = 9
+SPLIT_SLICE = 2_000
 # Report thresholds: smaller than the defaults, so that small inputs fill the tables.
 MIN_EPISODES = 20
 HEATMAP_MIN_EPISODES = 1
@@ -33,7 +34,7 @@ DESCRIBED = ("region", "nation", "customer", "supplier", "part", "orders", "line
 
 
 def _split(w: Workspace) -> HeavyKeys | None:
-    return find_heavy_keys(w.episodes, S.ID, S.ADMISSION, SPLIT_ROWS, rows_per_slice=1)
+    return find_heavy_keys(w.episodes, S.ID, SPLIT_ROWS, SPLIT_SLICE)
 
 
 def _ingest_csv(w: Workspace) -> DataFrame:

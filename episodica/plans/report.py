@@ -58,7 +58,7 @@ class BuiltFolder:
 
     @cached_property
     def heavy_next(self) -> HeavyKeys | None:
-        return find_heavy_keys(self.episodes, S.ID, S.ADMISSION, self.cfg.heavy_rows_next)
+        return find_heavy_keys(self.episodes, S.ID, self.cfg.heavy_rows)
 
 
 def write_reports(

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from episodica import schema as S
 from episodica.marts.clean import clean_features
 from episodica.operators.episodes import clean_episodes, collapse_episodes
-from episodica.operators.features import build_features
+from episodica.operators.features import build_features, history_timeline
 from episodica.operators.heavy import HeavyKeys, find_heavy_keys
-from episodica.operators.target import build_target, has_duplicate_keys
+from episodica.operators.target import build_target, has_duplicate_keys, next_timeline
 from episodica.plans import visits as source
 from episodica.schema import EpisodeConfig
 from episodica.sources.stages import StageStore, stage_root
@@ -49,11 +49,11 @@ class Workspace:
 
     @cached_property
     def heavy_next(self) -> HeavyKeys | None:
-        return find_heavy_keys(self.episodes, S.ID, S.ADMISSION, self.cfg.heavy_rows_next)
+        return find_heavy_keys(next_timeline(self.episodes, self.visits, self.billing), S.ID, self.cfg.heavy_rows)
 
     @cached_property
     def heavy_history(self) -> HeavyKeys | None:
-        return find_heavy_keys(self.episodes, S.ID, S.ADMISSION, self.cfg.heavy_rows_history)
+        return find_heavy_keys(history_timeline(self.episodes), S.ID, self.cfg.heavy_rows)
 
     @cached_property
     def duplicate_keys(self) -> bool:

@@ -101,7 +101,6 @@ class EpisodeConfig:
     discharge_reduce: str = "lexical_max"
     # Match keywords without accents.
     fold_accents: bool = False
-    # A subject with more rows than this is split by calendar slice.
-    heavy_rows_next: int = 1_000_000
-    heavy_rows_history: int = 20_000
+    # A subject with more rows than this on its timeline is cut into slices.
+    heavy_rows: int = 1_000_000
     attributes: tuple[str, ...] = field(default=ATTRIBUTES)

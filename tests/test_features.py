@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from episodica import schema as S
 from episodica.audits import overlaps
 from episodica.operators.features import build_features, check_features, history
-from episodica.operators.heavy import find_heavy_keys
+from episodica.operators.heavy import SLICE, cut, find_heavy_keys, history_order
 from tests.test_target import random_episodes
 
 
@@ -55,7 +56,7 @@ NAMES = (
 def test_history_equals_brute_force_plain_and_split(spark, make, seed):
     target = with_labels(random_episodes(make, seed)).cache()
     expected = brute_force_history(target.collect())
-    for heavy in (None, find_heavy_keys(target, S.ID, S.ADMISSION, 60), find_heavy_keys(target, S.ID, S.ADMISSION, 5)):
+    for heavy in (None, find_heavy_keys(target, S.ID, 60, 30), find_heavy_keys(target, S.ID, 5, 7)):
         found = {r[S.ADMISSION_TEXT]: tuple(r[n] for n in NAMES) for r in history(target, heavy=heavy).collect()}
         assert found == expected
 
@@ -64,7 +65,7 @@ def test_lead_equals_brute_force_plain_and_split(spark, make):
     target = with_labels(random_episodes(make, 5)).cache()
     plain = {r[S.ADMISSION_TEXT]: r for r in overlaps.lead_next(target).collect()}
     for rows in (60, 5):
-        split = {r[S.ADMISSION_TEXT]: r for r in overlaps.lead_next(target, find_heavy_keys(target, S.ID, S.ADMISSION, rows)).collect()}
+        split = {r[S.ADMISSION_TEXT]: r for r in overlaps.lead_next(target, find_heavy_keys(target, S.ID, rows, 20)).collect()}
         assert split == plain
     counts = brute_force_history(target.collect())
     by_place = {}
@@ -78,7 +79,7 @@ def test_lead_equals_brute_force_plain_and_split(spark, make):
 
 def test_missing_subject_can_be_heavy(spark, make):
     target = with_labels(random_episodes(make, 6)).withColumn(S.ID, F.when(F.col(S.ID) != "hot", F.col(S.ID))).cache()
-    heavy = find_heavy_keys(target, S.ID, S.ADMISSION, 60)
+    heavy = find_heavy_keys(target, S.ID, 60, 40)
     expected = brute_force_history(target.collect())
     found = {r[S.ADMISSION_TEXT]: tuple(r[n] for n in NAMES) for r in history(target, heavy=heavy).collect()}
     assert found == expected
@@ -86,18 +87,50 @@ def test_missing_subject_can_be_heavy(spark, make):
     assert plain == {r[S.ADMISSION_TEXT]: r for r in overlaps.lead_next(target, heavy).collect()}
 
 
-def test_slices_shorten_where_rows_are_dense(spark, make):
-    target = random_episodes(make, 7)
-    assert find_heavy_keys(target, S.ID, S.ADMISSION, 1000) is None
-    assert find_heavy_keys(target, S.ID, S.ADMISSION, 60).slice_days == 30
-    assert find_heavy_keys(target, S.ID, S.ADMISSION, 60, rows_per_slice=1).slice_days in range(1, 15)
+def burst(make, labels=True):
+    """One subject: a whole history on one day, many admissions and discharges at one instant, a year 0024, no times."""
+    draw, rows = random.Random(9), []
+    for i in range(300):
+        at = dt.datetime(2024, 5, 5) + dt.timedelta(seconds=draw.randrange(40) * 60)
+        if i % 4 == 0:
+            at = dt.datetime(2024, 5, 5, 0, 20)
+        out = at + dt.timedelta(minutes=draw.choice([-3, 0, 0, 5, 9]))
+        if i % 7 == 0:
+            out = dt.datetime(2024, 5, 5, 0, 20)
+        rows.append(("hot", at.isoformat(sep=" "), out.isoformat(sep=" "), {"text": f"t{i:04d}", "executante": f"H{i}"}))
+    rows.append(("hot", "0024-05-05 00:00:00", "2024-05-05 00:05:00", {"text": "odd", "executante": "Hodd"}))
+    # Exactly 30, 90 and 365 days after the burst: admissions leave the frames at the instant of others.
+    for days in (30, 90, 365):
+        for i in range(20):
+            at = dt.datetime(2024, 5, 5, 0, 20) + dt.timedelta(days=days)
+            rows.append(("hot", at.isoformat(sep=" "), None, {"text": f"d{days}-{i}", "executante": f"D{i}"}))
+    rows += [("hot", None, "2024-05-05 00:10:00", {"text": f"n{i}"}) for i in range(40)]
+    rows += [(f"light{i}", "2024-05-05 00:00:00", "2024-05-05 00:10:00", {"text": f"l{i}"}) for i in range(20)]
+    return make.episodes(*rows)
+
+
+@pytest.mark.parametrize("rows_per_slice", [10, 60])
+def test_history_of_a_burst_at_one_instant(spark, make, rows_per_slice):
+    target = with_labels(burst(make)).cache()
+    expected = brute_force_history(target.collect())
+    for heavy in (None, find_heavy_keys(target, S.ID, 100, rows_per_slice)):
+        found = {r[S.ADMISSION_TEXT]: tuple(r[n] for n in NAMES) for r in history(target, heavy=heavy).collect()}
+        assert found == expected
 
 
-def test_one_odd_date_does_not_stretch_the_slices(spark, make):
-    days = [("hot", f"2024-01-{1 + i % 20:02d}T{i % 24:02d}:00:00", None, {"text": str(i)}) for i in range(400)]
-    plain = find_heavy_keys(make.episodes(*days), S.ID, S.ADMISSION, 100, rows_per_slice=40)
-    odd = find_heavy_keys(make.episodes(*days, ("hot", "0024-01-05T00:00:00", None)), S.ID, S.ADMISSION, 100, rows_per_slice=40)
-    assert plain.slice_days == odd.slice_days <= 3
+def test_slices_of_a_burst_stay_small(spark, make):
+    target = burst(make)
+    heavy = find_heavy_keys(target, S.ID, 100, 60)
+    slices = cut(heavy.only(target, S.ID), S.ID, history_order(S.ADMISSION, S.ADMISSION_TEXT), heavy)
+    sizes = [r["count"] for r in slices.rows.groupBy(S.ID, SLICE).count().collect()]
+    assert sum(sizes) == 401 and max(sizes) <= 60 and len(sizes) >= 7
+
+
+def test_history_does_not_slide_over_frames(spark, make):
+    """The frames of the sweep start at the beginning, so their cost is linear in a subject's rows."""
+    target = with_labels(random_episodes(make, 1))
+    plan = history(target)._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "-30" not in plan.split("RangeFrame")[1][:40]
 
 
 def test_history_plan_sorts_once(spark, make):
@@ -108,7 +141,7 @@ def test_history_plan_sorts_once(spark, make):
 
 def test_split_plan_keeps_heavy_subject_out_of_one_window(spark, make):
     target = with_labels(random_episodes(make, 1))
-    heavy = find_heavy_keys(target, S.ID, S.ADMISSION, 60)
+    heavy = find_heavy_keys(target, S.ID, 60, 40)
     plan = build_features(target, heavy=heavy)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 

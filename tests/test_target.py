@@ -134,7 +134,7 @@ def brute_force_next(rows):
 def test_next_equals_brute_force_plain_and_split(spark, make, seed):
     episodes = random_episodes(make, seed).cache()
     expected = brute_force_next(episodes.collect())
-    for heavy in (None, find_heavy_keys(episodes, S.ID, S.ADMISSION, 60), find_heavy_keys(episodes, S.ID, S.ADMISSION, 5)):
+    for heavy in (None, find_heavy_keys(episodes, S.ID, 60, 30), find_heavy_keys(episodes, S.ID, 5, 7)):
         found = {
             r[S.ADMISSION_TEXT]: (r["next_admission_ts"], r["next_executante"])
             for r in next_episode(episodes, heavy=heavy).collect()
@@ -142,6 +142,27 @@ def test_next_equals_brute_force_plain_and_split(spark, make, seed):
         assert found == expected
 
 
+def test_next_in_a_burst_with_signals_and_a_subject_of_signals_only(spark, make):
+    """One day, one instant and a year 0024 hold a subject's rows; cuts fall between a signal and its events."""
+    from tests.test_features import burst
+
+    episodes = burst(make).cache()
+    rows = [r for r in episodes.collect() if r[S.ADMISSION]]
+    marked = sorted({r[S.ADMISSION] for r in rows if r[S.ID] == "hot"})[::2]
+    more = [("placeholder", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), 1) for i in range(400)]
+    signals = spark.createDataFrame(
+        [("hot", at, 1) for at in marked] + [("hot", None, 1)] + more, f"{S.ID} string, {S.ADMISSION} timestamp_ntz, flag int"
+    )
+    expected = {}
+    for text, (at, place) in brute_force_next(episodes.collect()).items():
+        expected[text] = (at, place, int(at in marked and not text.startswith("l")))
+    for rows_per_slice in (None, 8, 50):
+        heavy = rows_per_slice and find_heavy_keys([episodes, episodes, signals], S.ID, 100, rows_per_slice)
+        assert heavy is None or {r[S.ID] for r in heavy.keys.collect()} == {"hot", "placeholder"}
+        matched = next_episode(episodes, signals, heavy).collect()
+        assert {r[S.ADMISSION_TEXT]: (r["next_admission_ts"], r["next_executante"], r["flag"]) for r in matched} == expected
+
+
 def test_next_does_not_depend_on_row_order(spark, make):
     episodes = random_episodes(make, 3)
     shuffled = episodes.orderBy(F.md5(S.ADMISSION_TEXT)).repartition(5)
