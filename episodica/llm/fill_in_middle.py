@@ -29,7 +29,7 @@ from episodica.llm.common import ship_code
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Bytes of text that are transformed at once; a longer text is a batch of its own.
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 2 * 1024 * 1024
 
 _RESULT = pa.schema(
     [
@@ -106,22 +106,29 @@ def transform(texts: pa.Array, h: np.ndarray, rate: int, spm_rate: int) -> list[
     return [pa.array(n, pa.int64()), pa.array(form.tolist(), pa.string()), *lengths, pc.cast(output, pa.string())]
 
 
-def fill_in_middle(spark: SparkSession, docs: DataFrame, rate: int = 100, spm_rate: int = 50, seed: int = 7) -> DataFrame:
+def fill_in_middle(
+    spark: SparkSession, docs: DataFrame, rate: int = 100, spm_rate: int = 50, seed: int = 7, with_restored: bool = False
+) -> DataFrame:
     """One row per document: doc_id, n (units), form, prefix_chars, middle_chars (null if plain), output.
 
     rate: how many of 100 documents are transformed; spm_rate: how many of 100 of those have the form spm.
+    with_restored: add the text rebuilt from output and form, in the same pass and worker.
     """
     ship_code(spark)
+    more = [pa.field("restored", pa.string())] if with_restored else []
+    schema = pa.schema([*_RESULT, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h = pc.list_flatten(part.column("h")).to_numpy().reshape(-1, 4)
                 found = transform(part.column("text"), h, rate, spm_rate)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found], schema=_RESULT)
+                if with_restored:
+                    found.append(originals(found[-1], found[1]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", draws(seed))
-    return rows.mapInArrow(run, _TYPES)
+    return rows.mapInArrow(run, f"{_TYPES}, restored string" if with_restored else _TYPES)
 
 
 def after(texts: pa.Array, sentinel: str) -> tuple[pa.Array, pa.Array]:

@@ -98,7 +98,7 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fill_in_middle.restore(spark, fill_in_middle.fill_in_middle(spark, documents(spark, sf_dir)))
+    rows = fill_in_middle.fill_in_middle(spark, documents(spark, sf_dir), with_restored=True)
     digests = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
