@@ -4,7 +4,7 @@ Encoding a prefix gives one token sequence, and every beginning of that sequence
 So each byte prefix of a piece has one valid last token: the token t that ends there and may follow the last token of the
 prefix before t. ``last`` keeps this token for every prefix; the tokens of a piece are read from its end backwards. An
 automaton over all tokens names the candidates, and a pair may stand side by side if no merge across its boundary would
-have come before the merges that made the two (``Vocabulary.compatible``).
+have come before the merges that made the two (``Vocabulary.judge``).
 
 A table of prefixes can be kept: appended bytes only add entries, and after an edit the entries before it stay, pieces
 are split anew from shortly before it, and from the first old piece start after it everything is taken over
@@ -21,9 +21,11 @@ piece that is a token of the file is that token, even one that merges never reac
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import ahocorasick
 import numpy as np
@@ -31,12 +33,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from episodica.llm.common import Shared, ship_code
+from episodica.llm.common import Shared, ship_code, slices
 
-#: What workers keep starts anew after a batch that takes it beyond these: pieces, their bytes, pairs.
-MEMO_PIECES, MEMO_BYTES, MEMO_PAIRS = 200_000, 8_000_000, 1_000_000
-#: Texts that are encoded before their rows are handed on.
-BATCH_BYTES = 4 * 1024 * 1024
+#: What workers keep at most: pieces and their bytes in each of two generations, and judged pairs.
+MEMO_PIECES, MEMO_BYTES, MEMO_PAIRS = 150_000, 8_000_000, 400_000
+#: Bytes of text that are encoded at once; a longer text is a batch of its own.
+BATCH_BYTES = 2 * 1024 * 1024
 #: A match of the split pattern depends on so many characters after its end at most.
 LOOKAHEAD = 2
 
@@ -70,7 +72,7 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.longest = max(map(len, ranks), default=0)
-        self._pairs: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
         if made is None:
             self.left, self.right, self.reached = [-1] * size, [-1] * size, [False] * size
             self._find_splits()
@@ -111,14 +113,18 @@ class Vocabulary:
             else:
                 return True
 
-    def compatible(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) >= MEMO_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[key] = self._stands(a, b, len(self.tokens))
-        return known
+    def judge(self, a: int, b: int) -> bool:
+        """Whether b may follow a; kept in ``pairs`` under a << 32 | b."""
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.pairs.clear()
+        stands = self.pairs[a << 32 | b] = self._stands(a, b, len(self.tokens))
+        return stands
+
+
+def _replaced(pattern: str, names: dict[str, str]) -> str:
+    for name, to in names.items():
+        pattern = pattern.replace(name, to)
+    return pattern
 
 
 class Codec:
@@ -126,14 +132,21 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
         self.vocabulary, self.tokens = vocabulary, vocabulary.tokens
-        self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.sizes = [len(t) for t in self.tokens]
         # The \s of the pattern is the Unicode property; the regex module spells it out.
         spelt = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         ends = [[f"\\U{int(x, 16):08x}" for x in span.split("-")] for span in NEWER_LETTERS_AND_NUMBERS.split()]
         newer = "".join("-".join(e) for e in ends)
         self._newer = regex.compile(f"[{newer}]")
+        least = min(int(span.split("-")[0], 16) for span in NEWER_LETTERS_AND_NUMBERS.split())
+        self._beyond = re.compile(f"[{chr(least)}-\U0010ffff]")
         self._usual = regex.compile(spelt)
         self._exact = regex.compile(regex.sub(r"\\p\{([LN])\}", lambda m: rf"[\p{{{m[1]}}}--[{newer}]]", spelt), regex.V1)
+        # For ASCII texts the classes are short ranges, which the standard module reads faster.
+        ranges = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+        plain = re.sub(r"\[[^\]]*\]", lambda m: _replaced(m[0], ranges), pattern)
+        plain = _replaced(plain, {name: f"[{span}]" for name, span in ranges.items()})
+        self._ascii = re.compile(plain, re.ASCII) if r"\p" not in plain.lower() else None
         self._automaton = ahocorasick.Automaton()
         for token, rank in vocabulary.ranks.items():
             if token and vocabulary.reached[rank]:
@@ -142,13 +155,18 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        """Start the memo anew: the ids of each piece as the bytes of 32-bit numbers."""
+        """Start anew: the ids of each piece as the bytes of 32-bit numbers, in a young and an old generation."""
         self._memo: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._memo_bytes = 0
 
-    def splitter(self, text: str) -> regex.Pattern:
-        """The split pattern; its slower form only where a text needs it."""
-        return self._usual if text.isascii() or not self._newer.search(text) else self._exact
+    def splitter(self, text: str) -> regex.Pattern | re.Pattern:
+        """The split pattern; its slower forms only where a text needs them."""
+        if text.isascii():
+            return self._ascii or self._usual
+        if not self._beyond.search(text) or not self._newer.search(text):
+            return self._usual
+        return self._exact
 
     def pieces(self, text: str) -> list[str]:
         found = self.splitter(text).findall(text)
@@ -156,18 +174,21 @@ class Codec:
             raise ValueError("the split pattern leaves characters out")
         return found
 
-    def fill(self, data: bytes, last: array) -> array:
+    def fill(self, data: bytes, last: array | list[int]) -> array | list[int]:
         """``last`` for all prefixes of a piece; entries that are there already stay."""
-        vocabulary, start = self.vocabulary, len(last)
-        compatible, end = vocabulary.compatible, start - 1
-        begin = max(0, start - vocabulary.longest + 1)
+        end = len(last) - 1
+        pairs, judge, add = self.vocabulary.pairs, self.vocabulary.judge, last.append
+        begin = max(0, len(last) - self.vocabulary.longest + 1)
         # Of the tokens that end at one byte the automaton names the longest first.
         for at, (token, size) in self._automaton.iter(data.decode("latin-1"), begin):
-            if at <= end:
-                continue
-            before = at - size
-            if before < 0 or compatible(last[before], token):
-                last.append(token)
+            if at > end:
+                if size <= at:
+                    stands = pairs.get(last[at - size] << 32 | token)
+                    if stands is None:
+                        stands = judge(last[at - size], token)
+                    if not stands:
+                        continue
+                add(token)
                 end = at
         if len(last) != len(data):
             raise ValueError("the rank file lacks a single byte")
@@ -182,24 +203,47 @@ class Codec:
             last[-1] = whole
         return last
 
-    def walk(self, last: array) -> list[int]:
+    def walk(self, last: array | list[int]) -> list[int]:
         """The tokens of a table, from its end backwards. Tables put one after the other can be read as one."""
-        ids, at, tokens = [], len(last), self.tokens
-        while at > 0:
-            ids.append(last[at - 1])
-            at -= len(tokens[last[at - 1]])
+        ids, at, sizes = [], len(last) - 1, self.sizes
+        while at >= 0:
+            token = last[at]
+            ids.append(token)
+            at -= sizes[token]
         ids.reverse()
         return ids
 
-    def encode(self, text: str | None) -> np.ndarray:
-        pieces, memo = self.pieces(text or ""), self._memo
-        if len(memo) > MEMO_PIECES or self._memo_bytes > MEMO_BYTES:
-            self._forget()
-            memo = self._memo
-        for piece in set(pieces).difference(memo):
-            memo[piece] = np.array(self.walk(self.table(piece)), dtype=np.int32).tobytes()
-            self._memo_bytes += len(piece) + len(memo[piece])
-        return np.frombuffer(b"".join(map(memo.__getitem__, pieces)), dtype=np.int32)
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Keep the ids of new pieces. In byte order neighbours share beginnings, and with them entries of their tables."""
+        ranks, memo, old = self.vocabulary.ranks, self._memo, self._old
+        before, last = b"", []
+        for data, piece in sorted((p.encode(), p) for p in pieces):
+            ids = old.get(piece)
+            if ids is None:
+                whole = ranks.get(data)
+                if whole is None:
+                    same = 0
+                    for x, y in zip(before, data):
+                        if x != y:
+                            break
+                        same += 1
+                    del last[same:]
+                    before = data
+                    ids = array("i", self.walk(self.fill(data, last))).tobytes()
+                else:
+                    ids = array("i", (whole,)).tobytes()
+            memo[piece] = ids
+            self._memo_bytes += len(piece) + len(ids)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        if len(self._memo) > MEMO_PIECES or self._memo_bytes > MEMO_BYTES:
+            # Pieces that come again move over to the young generation, the others go with the old one.
+            self._memo, self._old, self._memo_bytes = {}, self._memo, 0
+        split = [self.pieces(text or "") for text in texts]
+        known = self._memo
+        self.learn(filterfalse(known.__contains__, set().union(*split)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype=np.int32) for pieces in split]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -286,11 +330,11 @@ def _shared(spark: SparkSession, ranks_path: str, pattern: str) -> Shared:
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
 
-def _encoded(keys: list, ids: list[np.ndarray], decoded: list[bytes]) -> pa.RecordBatch:
+def _encoded(keys: pa.Array, ids: list[np.ndarray], decoded: list[bytes]) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
     flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
     lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists, pa.array(decoded, pa.binary())], schema=_ENCODED)
+    return pa.RecordBatch.from_arrays([keys, lists, pa.array(decoded, pa.binary())], schema=_ENCODED)
 
 
 def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -300,17 +344,9 @@ def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec)
         for batch in batches:
-            keys, ids, decoded, size = [], [], [], 0
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids.append(codec.encode(text.as_py()))
-                decoded.append(codec.decode(ids[-1]))
-                keys.append(key)
-                size += len(decoded[-1])
-                if size >= BATCH_BYTES:
-                    yield _encoded(keys, ids, decoded)
-                    keys, ids, decoded, size = [], [], [], 0
-            if keys:
-                yield _encoded(keys, ids, decoded)
+            for part in slices(batch, "text", BATCH_BYTES):
+                ids = codec.encode(part.column("text").to_pylist())
+                yield _encoded(part.column("doc_id"), ids, [codec.decode(i) for i in ids])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

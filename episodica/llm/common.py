@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from episodica.sources.stages import stage_root
@@ -66,6 +70,17 @@ class Shared:
         return self._broadcast.value
 
 
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Cuts of a batch with at most so many bytes of text, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def per_key(rows: DataFrame, keys: list[str], *measures: Column) -> DataFrame:
     """Group and aggregate, for a join back to the rows.
 

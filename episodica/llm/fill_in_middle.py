@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from episodica.llm.common import ship_code
+from episodica.llm.common import ship_code, slices
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Bytes of text that are transformed at once; a longer text is a batch of its own.
@@ -46,17 +46,6 @@ def draws(seed: int) -> Column:
     return F.array(*[F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)])
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cuts of a batch with at most ``BATCH_BYTES`` of text, or one longer text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, start = np.cumsum(sizes), 0
-    while start < batch.num_rows:
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def large(text: str) -> pa.Scalar:
     return pa.scalar(text, pa.large_string())
 
@@ -120,7 +109,7 @@ def fill_in_middle(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH_BYTES):
                 h = pc.list_flatten(part.column("h")).to_numpy().reshape(-1, 4)
                 found = transform(part.column("text"), h, rate, spm_rate)
                 if with_restored:
@@ -159,7 +148,7 @@ def restore(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "output"):
+            for part in slices(batch, "output", BATCH_BYTES):
                 made = originals(part.column("output"), part.column("form"))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*names, "restored"])
 
