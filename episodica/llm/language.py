@@ -38,6 +38,8 @@ CALIBRATION_SHARE = 5
 MIN_COUNTED = 20
 REJECT_SHARE = 0.002
 REJECT_MARGIN = 0.5  # nats per letter
+#: Counts of more languages than this are joined by a shuffle.
+MAX_BROADCAST_LANGUAGES = 10_000
 #: Letters beyond which a longer text does not make the score surer.
 SCORE_LETTERS = 60
 PIECE_LETTERS = 1 << 20
@@ -171,7 +173,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_sample(docs: DataFrame, sample_rows: int) -> DataFrame:
     """About ``sample_rows`` labelled documents of each language outside the held-out fold."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # Languages are counted apart, so that no text moves: every task draws its own rows.
+    sizes = Scratch(docs.sparkSession, "languages").table(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    sizes = F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST_LANGUAGES else sizes
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) * F.col("rows")
     drawn = rows.select("doc_id", "lang", "text").join(sizes, "lang").filter(draw < F.lit(sample_rows * 1_000_000))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(CALIBRATION_SHARE))
