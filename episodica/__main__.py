@@ -16,7 +16,7 @@ def main() -> None:
     parser = argparse.ArgumentParser(prog="episodica", description=__doc__)
     parser.add_argument("raw_dir", help="folder with the six CSV extracts")
     parser.add_argument("out_dir", help="folder for the Parquet tables")
-    parser.add_argument("--sep", default=",", help="field separator of the extracts")
+    parser.add_argument("--sep", help="field separator of the extracts; found from a sample of each if not given")
     parser.add_argument("--reports", help="folder for CSV reports of the built tables")
     parser.add_argument("--input-gb", type=float, default=0.0, help="size of the extracts, to plan the shuffles")
     parser.add_argument("--cores", type=int, default=0, help="cores of the cluster, to plan the shuffles")

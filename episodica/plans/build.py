@@ -15,7 +15,7 @@ from episodica.operators.signals import unparsed_billing_times
 from episodica.operators.target import build_target, check_target, has_duplicate_keys, next_timeline
 from episodica.schema import EpisodeConfig
 from episodica.sources.contracts import require_columns
-from episodica.sources.extracts import ingest_csv, require_path, standard_specs, write_quarantine, write_tables
+from episodica.sources.extracts import ingest_csv, require_path, standard_specs, type_reports, write_quarantine, write_tables
 from episodica.sources.stages import StageStore
 
 log = logging.getLogger(__name__)
@@ -70,14 +70,19 @@ def build_from_tables(
 
 
 def build_from_csv(
-    spark: SparkSession, raw_dir: str, out_dir: str, cfg: EpisodeConfig = EpisodeConfig(), sep: str = ","
+    spark: SparkSession, raw_dir: str, out_dir: str, cfg: EpisodeConfig = EpisodeConfig(), sep: str | None = None
 ) -> BuildResult:
-    """Read the six extracts, keep them as Parquet, then build from those tables."""
+    """Read the six extracts, keep them as Parquet, then build from those tables.
+
+    Without ``sep`` every extract's separator is found from a sample of it. What types the columns could have, and how
+    many values would not fit, is written to ``types``.
+    """
     require_path(spark, raw_dir)
     specs = standard_specs(raw_dir, sep)
     paths = write_tables(ingest_csv(spark, specs), f"{out_dir.rstrip('/')}/raw")
     write_quarantine(spark, specs, f"{out_dir.rstrip('/')}/quarantine")
     raw = {name: spark.read.parquet(path) for name, path in paths.items()}
+    type_reports(raw).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/types")
     for name, df in raw.items():
         log.info("%s: %d rows", name, df.count())
     for name in ("hospitalizations", "billing"):

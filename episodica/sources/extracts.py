@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from episodica import schema as S
 from episodica.functions import vocabulary as V
+from episodica.sources.dialect import detect_separator, type_report
+from episodica.sources.records import records
 
 log = logging.getLogger(__name__)
 
@@ -20,15 +22,15 @@ CORRUPT = "_corrupt_record"
 
 @dataclass(frozen=True)
 class CsvSpec:
-    """One extract: file, the columns the jobs need, separator and encoding."""
+    """One extract: file, the columns the jobs need, separator (found from a sample if None) and encoding."""
 
     path: str
     schema: T.StructType | None = None
-    sep: str = ","
+    sep: str | None = None
     encoding: str = "UTF-8"
 
 
-def standard_specs(folder: str, sep: str = ",") -> dict[str, CsvSpec]:
+def standard_specs(folder: str, sep: str | None = None) -> dict[str, CsvSpec]:
     return {
         name: CsvSpec(f"{folder.rstrip('/')}/{file}", S.RAW_SCHEMAS[name], sep)
         for name, file in V.EXTRACT_FILES.items()
@@ -52,6 +54,10 @@ def require_path(spark: SparkSession, path: str) -> str:
     return path
 
 
+def with_separator(spark: SparkSession, spec: CsvSpec) -> CsvSpec:
+    return spec if spec.sep else replace(spec, sep=detect_separator(spark, spec.path, spec.encoding))
+
+
 def _header(spark: SparkSession, spec: CsvSpec) -> list[str]:
     return spark.read.csv(
         spec.path, header=True, sep=spec.sep, encoding=spec.encoding, inferSchema=False, escape='"'
@@ -69,35 +75,30 @@ def read_csv(spark: SparkSession, spec: CsvSpec) -> DataFrame:
     """All columns of the file as text, with malformed rows kept in ``_corrupt_record``.
 
     Quotes in a field are doubled, a backslash is a character like any other, and an empty field is NULL, quoted or not.
-    A line break within quotes needs whole files per task; only an extract that has one is read so, which many part
-    files keep parallel. The header gives the columns of the file, so columns the jobs do not name are kept too; named
-    columns that the file lacks are reported.
+    An extract with line breaks within quotes is put together to records first (``records``), so its files stay split;
+    only other encodings than UTF-8 need whole files per task then. The header gives the columns of the file, so columns
+    the jobs do not name are kept too; named columns that the file lacks are reported.
     """
+    spec = with_separator(spark, spec)
     names = _header(spark, spec)
     if spec.schema is not None:
         lacking = [n for n in spec.schema.fieldNames() if n not in names]
         if lacking:
             raise ValueError(f"Columns missing in {spec.path}: {lacking}")
-    fields = [T.StructField(n, T.StringType()) for n in (*names, CORRUPT)]
-    whole_files = has_line_breaks_in_quotes(spark, spec)
-    if whole_files:
-        log.warning("Line breaks in quoted fields, each file is one task: %s", spec.path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+    broken = has_line_breaks_in_quotes(spark, spec)
+    options = {
+        "sep": spec.sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "quote": '"', "escape": '"',
+        "nullValue": "", "emptyValue": "", "multiLine": str(broken).lower(),
+    }
+    if broken and spec.encoding.upper().replace("-", "") == "UTF8":
+        kinds = ", ".join("`{}` string".format(n.replace("`", "``")) for n in schema.fieldNames())
+        return records(spark, spec.path, spec.sep).select(F.from_csv("record", kinds, options).alias("row")).select("row.*")
+    if broken:
+        log.warning("Line breaks in quoted fields of a file that is not UTF-8, each file is one task: %s", spec.path)
     # Whole rows are parsed whatever columns a query takes, or a row's length would depend on the query.
-    return spark.read.option("columnPruning", False).csv(
-        spec.path,
-        schema=T.StructType(fields),
-        header=True,
-        sep=spec.sep,
-        encoding=spec.encoding,
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord=CORRUPT,
-        enforceSchema=False,
-        quote='"',
-        escape='"',
-        nullValue="",
-        emptyValue="",
-        multiLine=whole_files,
-    )
+    options |= {"columnPruning": "false", "header": "true", "encoding": spec.encoding, "enforceSchema": "false"}
+    return spark.read.options(**options).csv(spec.path, schema=schema)
 
 
 def good_rows(df: DataFrame) -> DataFrame:
@@ -162,6 +163,14 @@ def write_quarantine(spark: SparkSession, specs: Mapping[str, CsvSpec], out_dir:
         log.info("%s: %d malformed rows", name, spark.read.parquet(path).count())
 
 
+def type_reports(tables: Mapping[str, DataFrame], tolerance: float = 0.0) -> DataFrame:
+    """The kinds that the text columns of all tables can hold, with the values that do not fit; one pass per table."""
+    return reduce(
+        DataFrame.unionByName,
+        [type_report(df, tolerance).select(F.lit(name).alias("table_name"), "*") for name, df in tables.items()],
+    )
+
+
 def write_tables(tables: Mapping[str, DataFrame], out_dir: str) -> dict[str, str]:
     """One Parquet folder per table, replacing what is there."""
     paths = {}

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from episodica.plans.build import build_from_csv
 from episodica.plans.report import write_reports
 from episodica.sources import catalog
 from episodica.sources.contracts import missing_columns, optional_columns, require_columns
+from episodica.sources.dialect import detect_separator, kinds_of, type_report, typed
 from episodica.sources.extracts import (
     CsvSpec,
     ingest_csv,
@@ -64,6 +67,96 @@ def test_quotes_backslashes_and_line_breaks_are_read_whole(spark, tmp_path, rows
     assert [r[0].strip() for r in quarantine(read_csv(spark, spec).cache()).collect()] == ["short"]
 
 
+def broken_rows(seed, n=150):
+    """Rows whose fields hold line breaks, quotes, separators and stray quotes, and their lines in a file."""
+    draw, rows, lines = random.Random(seed), [], []
+    for i in range(n):
+        fields = [draw.choice(["x", "", "a b", 'he said "hi"', "l1\nl2", 'l1\n\nl3,"', ",", '"', "\n", "z" * 40, "a\\", 'q\n"\n"w']) for _ in range(2)]
+        quoted = ['"' + f.replace('"', '""') + '"' if draw.random() < 0.3 or set(f) & set(',"\n') else f for f in fields]
+        rows.append((f"{seed}-{i}", *[f or None for f in fields]))
+        lines.append(",".join([f"{seed}-{i}", *quoted]))
+    # A quote that does not open a field is a character.
+    rows.append((f"{seed}-s", '5" pipe', '6"'))
+    return rows, [*lines, f'{seed}-s,5" pipe,6"']
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_records_cut_by_splits_are_read_whole(spark, tmp_path, ending):
+    """Files in splits of 150 bytes: cuts fall into quoted fields, between the quotes of a pair and on line breaks."""
+    expected = []
+    for seed in range(3):
+        rows, lines = broken_rows(seed)
+        expected += rows
+        with open(tmp_path / f"p{seed}.csv", "w", newline="", encoding="utf-8") as file:
+            file.write(ending.join(["identificador,a,b", *lines]) + ending)
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(name, "150")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 30
+        table = ingest_csv(spark, {"t": CsvSpec(str(tmp_path), S._strings("identificador"))})["t"]
+        found = [tuple(r) for r in table.collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(found) == sorted(expected)
+    if ending == "\n":
+        whole = spark.read.csv(
+            str(tmp_path), schema="k string, a string, b string", header=True, quote='"', escape='"', nullValue="", emptyValue="", multiLine=True
+        )
+        assert sorted(tuple(r) for r in whole.collect()) == sorted(found)
+
+
+def test_an_open_quote_at_the_end_and_files_without_rows(spark, tmp_path):
+    csv_file(tmp_path, 'identificador,a\n1,"x\n2,y\n', "a.csv")
+    csv_file(tmp_path, "identificador,a\n", "b.csv")
+    csv_file(tmp_path, 'identificador,a\n3,"u\nv"\n\n4,w', "c.csv")
+    table = ingest_csv(spark, {"t": CsvSpec(str(tmp_path))})["t"]
+    assert {("3", "u\nv"), ("4", "w")} <= {tuple(r) for r in table.collect()}
+
+
+@pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
+def test_the_separator_is_found(spark, tmp_path, sep):
+    other = ";" if sep == "," else ","
+    lines = [f"identificador{sep}a{sep}b"] + [f'{i}{sep}"one{other} two{sep}\nthree"{sep}{i}{other}5' for i in range(30)] + ["short"]
+    path = csv_file(tmp_path, "\n".join(lines) + "\n")
+    assert detect_separator(spark, path) == sep
+    table = ingest_csv(spark, {"t": CsvSpec(path)})["t"]
+    assert table.count() == 30 and table.first()["a"] == f"one{other} two{sep}\nthree"
+    assert detect_separator(spark, csv_file(tmp_path, "identificador\n1\n2\n", "one.csv")) == ","
+    assert detect_separator(spark, csv_file(tmp_path, "", "none.csv")) == ","
+
+
+def test_types_follow_all_rows(spark):
+    rows = [("1", "1.5", "01/02/2024 10:00:00", "007", "true", "x", None)] * 30 + [("-2", "2e3", "2024-03-05", "12", "False", "", None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string, g string")
+    report = {r["column_name"]: (r["kind"], r["n_values"], r["n_misfits"]) for r in type_report(df).collect()}
+    assert report == {
+        "a": ("bigint", 31, 0), "b": ("double", 31, 0), "c": ("timestamp_ntz", 31, 0), "d": ("string", 31, 0),
+        "e": ("boolean", 31, 0), "f": ("string", 31, 0), "g": ("string", 0, 0),
+    }
+    odd = df.union(spark.createDataFrame([("n/a", "?", "?", "?", "?", "?", None)], df.schema))
+    assert type_report(odd).filter("column_name = 'a'").head()["kind"] == "string"
+    kinds = {r["column_name"]: (r["kind"], r["n_misfits"]) for r in type_report(odd, tolerance=0.05).collect()}
+    assert kinds["a"] == ("bigint", 1) and kinds["b"] == ("double", 1)
+    made = typed(odd, kinds_of(type_report(odd, tolerance=0.05)))
+    assert dict(made.dtypes)["a"] == "bigint" and made.filter("a IS NULL").count() == 1 and made.agg(F.sum("a")).head()[0] == 28
+
+
+@pytest.mark.parametrize("seps", [",,,", ";\t|"])
+def test_the_build_needs_no_separator(spark, tmp_path, seps):
+    names, bill = S.RAW_SCHEMAS["hospitalizations"].fieldNames(), S.RAW_SCHEMAS["billing"].fieldNames()
+    rows = [
+        {S.ID: "p", S.ADMISSION_TEXT: "01/01/2024 10:00:00", S.DISCHARGE_TEXT: "02/01/2024 10:00:00", "motivoalta": "Alta"},
+        {S.ID: "p", S.ADMISSION_TEXT: "07/01/2024 10:00:00", S.DISCHARGE_TEXT: "", "carater": "URGENCIA"},
+    ]
+    csv_file(tmp_path, "\n".join([seps[0].join(names)] + [seps[0].join(r.get(n, "") for n in names) for r in rows]), V.EXTRACT_FILES["hospitalizations"])
+    csv_file(tmp_path, seps[1].join(bill) + "\n" + seps[1].join(["p", "07/01/2024 10:00:00", "X", "", "", ""]), V.EXTRACT_FILES["billing"])
+    csv_file(tmp_path, f"identificador{seps[2]}other\np{seps[2]}1\n", V.EXTRACT_FILES["requests"])
+    built = build_from_csv(spark, str(tmp_path), str(tmp_path / "out"))
+    assert [tuple(r) for r in built.features.select(S.LABEL, "length_of_stay_days").collect()] == [(1, 1)]
+    types = {(r["table_name"], r["column_name"]): r["kind"] for r in spark.read.parquet(str(tmp_path / "out/types")).collect()}
+    assert types["requests", "other"] == "bigint" and types["hospitalizations", S.ADMISSION_TEXT] == "timestamp_ntz"
+
+
 def test_request_dates_and_billing_times_of_an_extract(spark, make):
     rows = make.raw(
         {S.ID: "p", S.ADMISSION_TEXT: "01/01/2024 10:00:00", S.REQUEST_DATE: "31/01/2024"},
