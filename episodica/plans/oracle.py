@@ -273,13 +273,6 @@ def _stated(column: str, text: str = V.NOT_STATED) -> str:
     return f"coalesce({column}, '{text}')"
 
 
-def _stat(table: str, column: str, kind: str, source: str) -> str:
-    return (
-        f"SELECT '{table}' AS table_name, '{column}' AS column_name, '{kind}' AS column_type, count(*) AS rows, "
-        f"count(*) - count({column}) AS nulls, count(DISTINCT {column}) AS distinct_values FROM {source}"
-    )
-
-
 def _long_stays(group: str) -> str:
     return (
         f"SELECT {group}, count(*) AS total_episodes, "
@@ -345,7 +338,66 @@ _BILLING_COLUMNS = (
     ("procprincipalsolicitado", "string"), ("procprincipalautorizado", "string"),
     ("procedimentosolicitadoeletiva", "string"),
 )
-_SUBJECT_TABLES = ("appointments", "regulated_exams", "non_regulated_exams", "requests")
+# Columns of the given tables in the role of extracts: the subject first.
+_EXTRACT_COLUMNS = {
+    "appointments": ("customer", (("c_custkey", "string"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))),
+    "regulated_exams": (
+        "orders",
+        (("o_custkey", "string"), ("o_orderkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+         ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")),
+    ),
+    "non_regulated_exams": (
+        "events",
+        (("user_id", "string"), ("event_id", "bigint"), ("ts", "timestamp_ntz"), ("event_type", "string"), ("value", "double"), ("props", "string")),
+    ),
+    "requests": ("labels", (("doc_id", "string"), ("quality", "int"), ("toxic", "int"))),
+    "hospitalizations": ("visits", _VISIT_COLUMNS),
+    "billing": ("billing", _BILLING_COLUMNS),
+}
+
+
+def _extract_columns():
+    """(table, source, SQL column, name in the extract, type) of every column of every extract."""
+    for table, (source, columns) in _EXTRACT_COLUMNS.items():
+        for i, (column, kind) in enumerate(columns):
+            yield table, source, column, column if i else "identificador", kind
+
+
+def _text_of(column: str, kind: str) -> str:
+    if kind == "double":
+        return f"{column}::DECIMAL(38,6)::VARCHAR"
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S')" if kind.startswith("timestamp") else f"{column}::VARCHAR"
+
+
+def _catalog_sql() -> str:
+    """Statistics of every column of every extract."""
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{name}' AS column_name, '{kind}' AS column_type, count(*) AS rows, "
+        f"count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM {source}"
+        for t, source, c, name, kind in _extract_columns()
+    )
+
+
+def _text_catalog_sql() -> str:
+    """The same without types, as a text file holds the columns: an empty text is a NULL."""
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{name}' AS column_name, count(*) AS rows, count(*) - count(v) AS nulls, "
+        f"count(DISTINCT v) AS distinct_values FROM (SELECT nullif({_text_of(c, kind)}, '') AS v FROM {source})"
+        for t, source, c, name, kind in _extract_columns()
+    )
+
+
+def _sample_sql(n: int) -> str:
+    parts = []
+    for table, (source, columns) in _EXTRACT_COLUMNS.items():
+        order = ", ".join(f"{c + '::VARCHAR' if i == 0 else c} NULLS FIRST" for i, (c, _) in enumerate(columns))
+        few = f"(SELECT *, row_number() OVER (ORDER BY {order})::INTEGER AS row FROM {source} ORDER BY {order} LIMIT {n})"
+        parts += [
+            f"SELECT '{table}' AS table_name, row, '{c if i else 'identificador'}' AS column_name, {_text_of(c, kind)} AS value FROM {few}"
+            for i, (c, kind) in enumerate(columns)
+        ]
+    return " UNION ALL ".join(parts)
+
 
 _SQL: dict[str, str] = {
     # sources and catalog
@@ -364,12 +416,10 @@ _SQL: dict[str, str] = {
         (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE non_null) c USING (column_name)"""
         for t in DESCRIBED
     ),
-    "sample_rows": f"SELECT {_KEYS}, executante, motivoalta FROM episodes ORDER BY 1, 2 LIMIT 5",
-    "data_catalog": " UNION ALL ".join(
-        [_stat(t, "k", "string", f"subjects WHERE t = '{t}'").replace("'k' AS", "'identificador' AS") for t in _SUBJECT_TABLES]
-        + [_stat("hospitalizations", c, k, "visits") for c, k in _VISIT_COLUMNS]
-        + [_stat("billing", c, k, "billing") for c, k in _BILLING_COLUMNS]
-    ),
+    "ingest_all": _text_catalog_sql(),
+    "sample_rows": _sample_sql(5),
+    "data_catalog": _catalog_sql(),
+    "data_catalog_sketch": f"SELECT table_name, column_name, rows, nulls, true AS estimate_holds FROM ({_catalog_sql()})",
     # episodes and target
     "collapse_episodes": "SELECT * FROM collapsed",
     "parse_admission": f"SELECT {_KEYS}, parsed_admission_ts FROM parsed",

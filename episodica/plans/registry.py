@@ -17,7 +17,7 @@ from episodica.operators.episodes import collapse_episodes, parse_discharge, wit
 from episodica.operators.heavy import HeavyKeys, find_heavy_keys
 from episodica.plans.visits import table
 from episodica.plans.workspace import Workspace, workspace
-from episodica.sources import catalog, extracts
+from episodica.sources import catalog, extracts, sketches
 
 Query = Callable[[Workspace], DataFrame]
 
@@ -30,7 +30,10 @@ HEATMAP_MIN_EPISODES = 1
 
 KEY = (S.ID, S.ADMISSION_TEXT)
 # Given tables whose columns describe_schema lists.
-DESCRIBED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+DESCRIBED = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 
 
 def _split(w: Workspace) -> HeavyKeys | None:
@@ -57,6 +60,32 @@ def _parquet_roundtrip(w: Workspace) -> DataFrame:
     return catalog.compare_tables(w.extracts, back)
 
 
+def _ingest_all(w: Workspace) -> DataFrame:
+    """The six extracts written with different separators, found again on reading, and the catalog of what was read."""
+    folder = f"{w.store.folder}/csv/all"
+    for (name, df), sep in zip(w.extracts.items(), (",", ";", "\t", "|", ",", ";"), strict=True):
+        text = df.select(*[catalog.as_text(c, kind).alias(c) for c, kind in df.dtypes])
+        text.write.mode("overwrite").csv(
+            f"{folder}/{name}", header=True, sep=sep, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
+    specs = {name: extracts.CsvSpec(f"{folder}/{name}") for name in w.extracts}
+    return catalog.data_catalog(extracts.ingest_csv(w.spark, specs)).drop("column_type")
+
+
+def _sketched_catalog(w: Workspace) -> DataFrame:
+    """Sketches of the extracts in three parts, merged, beside the exact counts: is each estimate within four errors?"""
+    store = sketches.SketchStore(w.spark, f"{w.store.folder}/sketches")
+    for part in range(3):
+        own = F.pmod(F.xxhash64(S.ID), F.lit(3)) == part
+        store.add(str(part), {name: df.filter(own) for name, df in w.extracts.items()})
+    exact = catalog.data_catalog(w.extracts).select("table_name", "column_name", "distinct_values")
+    off = F.abs(F.col("distinct_estimate") - F.col("distinct_values"))
+    within = off <= F.ceil(F.col("distinct_values") * 4 * sketches.DISTINCT_ERROR)
+    return store.catalog().join(F.broadcast(exact), ["table_name", "column_name"]).select(
+        "table_name", "column_name", "rows", "nulls", within.alias("estimate_holds")
+    )
+
+
 def _candidates(w: Workspace) -> DataFrame:
     rows = tgt.with_next(w.episodes, w.visits, w.billing, w.cfg, w.heavy_next).filter(tgt.is_candidate(w.cfg))
     return rows.select(
@@ -104,13 +133,15 @@ def _filtered(w: Workspace) -> DataFrame:
 OPERATORS: dict[str, Query] = {
     # sources and catalog
     "ingest_csv": _ingest_csv,
+    "ingest_all": _ingest_all,
     "parquet_roundtrip": _parquet_roundtrip,
     "row_counts": lambda w: catalog.row_counts(
         {**w.extracts, "hospitalization_episodes_clean": w.episodes, "hospitalization_target": w.target, "ml_features": w.features}
     ),
     "describe_schema": lambda w: catalog.describe_tables({n: table(w.spark, w.sf_dir, n) for n in DESCRIBED}),
-    "sample_rows": lambda w: catalog.sample_rows(w.episodes.select(*KEY, "executante", "motivoalta"), 5, list(KEY)),
+    "sample_rows": lambda w: catalog.sample_tables(w.extracts, 5),
     "data_catalog": lambda w: catalog.data_catalog(w.extracts),
+    "data_catalog_sketch": _sketched_catalog,
     # episodes and target
     "collapse_episodes": lambda w: collapse_episodes(w.visits, w.cfg),
     "parse_admission": lambda w: w.episodes.select(*KEY, parse_day_first(S.ADMISSION_TEXT).alias("parsed_admission_ts")),

@@ -137,17 +137,21 @@ def billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Given tables in the role of extracts, and which of their columns is the subject.
+EXTRACT_TABLES = {
+    "appointments": ("customer", "c_custkey"),
+    "regulated_exams": ("orders", "o_custkey"),
+    "non_regulated_exams": ("events", "user_id"),
+    "requests": ("labels", "doc_id"),
+}
+
+
 def extracts(spark: SparkSession, sf_dir: str, hospitalizations: DataFrame, billing_rows: DataFrame) -> dict[str, DataFrame]:
-    """Six tables that share a subject id, in the role of the six extracts."""
-
-    def subject(name: str, column: str) -> DataFrame:
-        return table(spark, sf_dir, name).select(F.col(column).cast("string").alias(S.ID))
-
-    return {
-        "appointments": subject("customer", "c_custkey"),
-        "regulated_exams": subject("orders", "o_custkey"),
-        "non_regulated_exams": subject("events", "user_id"),
-        "requests": subject("labels", "doc_id"),
-        "hospitalizations": hospitalizations,
-        "billing": billing_rows,
-    }
+    """Six whole tables that share a subject id, in the role of the six extracts; the id comes first, as text."""
+
+    def with_subject(name: str, column: str) -> DataFrame:
+        df = table(spark, sf_dir, name)
+        return df.select(F.col(column).cast("string").alias(S.ID), *[c for c in df.columns if c != column])
+
+    given = {role: with_subject(*source) for role, source in EXTRACT_TABLES.items()}
+    return {**given, "hospitalizations": hospitalizations, "billing": billing_rows}

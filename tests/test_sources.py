@@ -11,7 +11,7 @@ from episodica.operators.episodes import collapse_episodes
 from episodica.operators.signals import billing_time, unparsed_billing_times
 from episodica.plans.build import build_from_csv
 from episodica.plans.report import write_reports
-from episodica.sources import catalog
+from episodica.sources import catalog, sketches
 from episodica.sources.contracts import missing_columns, optional_columns, require_columns
 from episodica.sources.dialect import detect_separator, kinds_of, type_report, typed
 from episodica.sources.extracts import (
@@ -274,12 +274,76 @@ def test_grain_check_with_missing_values(spark, make):
         {S.ID: "a", S.ADMISSION_TEXT: "t2", S.REQUEST_DATE: "d1"},
         {S.ID: "a", S.ADMISSION_TEXT: V.ADMISSION_SENTINEL, S.REQUEST_DATE: "d1"},
     ]
-    assert tuple(catalog.distinct_grain_check(make.raw(*rows)).head()) == (4, 2, 2, 3)
+    found = catalog.distinct_grain_check(make.raw(*rows))
+    assert tuple(found.head()) == (4, 2, 2, 3)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tuple(catalog.distinct_grain_check(make.raw()).head()) == (0, 0, 0, 0)
+
+
+def test_comparison_finds_one_swapped_duplicate(spark):
+    rows = [(i % 5, None if i % 3 else f"v{i % 4}", float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    swapped = [*rows[:-1], rows[0]]
+    copies = {
+        "same": (rows[::-1], 0), "swapped": (swapped, 2), "shorter": (rows[1:], 1),
+        "moved": ([(a, b, c) if i else (None, b, c) for i, (a, b, c) in enumerate(rows)], 2),
+    }
+    assert rows[-1] != rows[0]
+    tables = {name: df for name in copies}
+    compared = catalog.compare_tables(tables, {n: spark.createDataFrame(r, df.schema) for n, (r, _) in copies.items()})
+    assert {r["table_name"]: (r["rows"], r["differing_rows"]) for r in compared.collect()} == {n: (60, d) for n, (_, d) in copies.items()}
+    # NULLs in different columns are different rows, although a hash passes NULLs by.
+    left, right = (spark.createDataFrame([r], "a string, b string") for r in (("x", None), (None, "x")))
+    assert catalog.compare_tables({"t": left}, {"t": right}).head()["differing_rows"] == 2
+
+
+def test_fingerprints_move_no_rows(spark):
+    df = spark.range(1000).withColumn("b", F.col("id").cast("string"))
+    plan = catalog._fingerprints({"t": df})._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and plan.count("Exchange") == 1
+
+
+def test_long_values_are_counted_by_digest(spark):
+    long = "x" * 1000
+    df = spark.createDataFrame([(long + str(i % 7), "short") for i in range(50)] + [(None, None)], "a string, b string")
+    found = {r["column_name"]: tuple(r)[3:] for r in catalog.column_statistics(df, "t").collect()}
+    assert found == {"a": (51, 1, 7), "b": (51, 1, 1)}
+
+
+def test_sketches_of_parts_merge(spark, tmp_path):
+    store = sketches.SketchStore(spark, str(tmp_path / "sketches"))
+    df = spark.range(20000).select(
+        (F.col("id") % 5000).alias("n"), F.concat(F.lit("k"), F.col("id") % 300).alias("k"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") % 4 > 0, F.col("id").cast("double")).alias("x"),
+    )
+    for part in range(3):
+        store.add(str(part), {"t": df.filter(F.col("n") % 3 == part)})
+    # A part that is loaded again replaces what it held.
+    store.add("2", {"t": df.filter(F.col("n") % 3 == 2)})
+    found = {r["column_name"]: r for r in store.catalog().collect()}
+    assert {c: (r["rows"], r["nulls"]) for c, r in found.items()} == {"n": (20000, 0), "k": (20000, 0), "none": (20000, 20000), "x": (20000, 5000)}
+    for column, exact in (("n", 5000), ("k", 300), ("none", 0), ("x", 15000)):
+        assert abs(found[column]["distinct_estimate"] - exact) <= 4 * sketches.DISTINCT_ERROR * exact
+    assert found["n"]["least"] == 0 and found["n"]["greatest"] == 4999 and abs(found["n"]["median"] - 2500) <= 3 * sketches.RANK_ERROR * 5000
+    assert found["none"]["median"] is None and found["k"]["greatest"] == 4 and found["x"]["least"] == 1
+    plan = sketches.column_sketches(df, "t")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    with pytest.raises(FileNotFoundError):
+        sketches.SketchStore(spark, str(tmp_path / "other")).catalog()
+
+
+def test_samples_of_all_tables(spark):
+    tables = {
+        "t": spark.createDataFrame([(3, 1.5), (1, None), (2, 2.0)], "a int, b double"),
+        "u": spark.createDataFrame([], "c timestamp_ntz"),
+    }
+    found = [tuple(r) for r in catalog.sample_tables(tables, 2).collect()]
+    assert sorted(found, key=str) == [("t", 1, "a", "1"), ("t", 1, "b", None), ("t", 2, "a", "2"), ("t", 2, "b", "2.000000")]
 
 
 def test_schema_and_sample(spark):
     df = spark.createDataFrame([(3,), (1,), (2,)], "a int")
-    assert [tuple(r) for r in catalog.describe_schema(df).collect()] == [(0, "a", "int")]
+    assert [tuple(r) for r in catalog.describe_tables({"t": df}).collect()] == [("t", "a", "INTEGER", 3)]
     assert [r.a for r in catalog.sample_rows(df, 2, ["a"]).collect()] == [1, 2]
     assert catalog.row_counts({"t": df}).head().asDict() == {"table_name": "t", "rows": 3}
     assert df.filter(F.col("a") > 5).count() == 0
