@@ -57,8 +57,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two or more lines, as ``LINE_SQL`` defines the result; the pipeline deletes long single lines too."""
-    return line_dedup.line_dedup(spark, documents(spark, sf_dir), long_words=None)
+    return line_dedup.line_dedup(spark, documents(spark, sf_dir))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +186,13 @@ numbered AS (
   SELECT doc_id, pos,
          row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, pos) AS copy
   FROM pairs WHERE next_line IS NOT NULL),
+long AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS copy FROM lines)
+  WHERE copy > 1 AND len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 50),
 gone AS (
-  SELECT DISTINCT doc_id, pos + k AS pos FROM numbered, (VALUES (0), (1)) AS s(k) WHERE copy > 1),
+  SELECT doc_id, pos + k AS pos FROM numbered, (VALUES (0), (1)) AS s(k) WHERE copy > 1
+  UNION SELECT doc_id, pos FROM long),
 marked AS (
   SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS gone,
          lag(g.pos IS NOT NULL, 1, false) OVER (PARTITION BY l.doc_id ORDER BY l.pos) AS before
