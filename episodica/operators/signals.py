@@ -9,8 +9,13 @@ from episodica.functions import vocabulary as V
 from episodica.functions.temporal import parse_time
 from episodica.functions.text import any_of, blank_to_null, contains_any, distinct_text, without_accents
 from episodica.operators.episodes import has_admission, with_admission_time
+from episodica.operators.heavy import SLICE, cut, find_heavy_keys
 from episodica.schema import EpisodeConfig
 
+SEPARATOR = " | "
+#: A group with more distinct texts is put together from chunks of at most so many.
+HEAVY_TEXTS, TEXTS_PER_CHUNK = 100_000, 10_000
+
 FLAGS = ("acute_procedure", "routine_procedure", "transplant", "post_transplant")
 
 
@@ -47,13 +52,28 @@ def unparsed_billing_times(billing: DataFrame) -> DataFrame:
     return billing.agg(F.count_if(given & billing_time(billing).isNull()).alias("unparsed_times"))
 
 
-def procedure_texts(rows: DataFrame) -> DataFrame:
-    """Distinct procedures per (subject, admission time) as one text."""
-    return (
-        rows.dropDuplicates([S.ID, S.ADMISSION, "procedure"])
-        .groupBy(S.ID, S.ADMISSION)
-        .agg(distinct_text("procedure").alias("procedure_text"))
-    )
+def procedure_texts(rows: DataFrame, heavy_texts: int = HEAVY_TEXTS, texts_per_chunk: int = TEXTS_PER_CHUNK) -> DataFrame:
+    """Distinct procedures per (subject, admission time) as one text.
+
+    A group with many distinct texts, such as the rows without a time of one subject, is not collected as one array: its
+    texts are sorted across tasks, joined chunk by chunk, and the chunks are put together in their order.
+    """
+    kept = rows.dropDuplicates([S.ID, S.ADMISSION, "procedure"])
+    groups = kept.withColumn("__group", F.struct(S.ID, S.ADMISSION))
+    heavy = find_heavy_keys(groups, "__group", heavy_texts, texts_per_chunk) if rows.count() > heavy_texts else None
+    if heavy is None:
+        return _joined(kept, [S.ID, S.ADMISSION], "procedure", "procedure_text")
+    light = _joined(heavy.without(groups, "__group"), [S.ID, S.ADMISSION], "procedure", "procedure_text")
+    texts = heavy.only(groups, "__group").filter(F.col("procedure").isNotNull()).select("__group", "procedure")
+    chunks = cut(texts, "__group", [F.col("procedure").asc()], heavy).rows
+    parts = _joined(chunks, ["__group", SLICE], "procedure", "part")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(SLICE, "part"))), lambda p: p["part"]), SEPARATOR)
+    long = parts.groupBy("__group").agg(whole.alias("procedure_text"))
+    return light.unionByName(long.select("__group.*", "procedure_text"))
+
+
+def _joined(rows: DataFrame, by: list[str], text: str, name: str) -> DataFrame:
+    return rows.groupBy(*by).agg(distinct_text(text, SEPARATOR).alias(name))
 
 
 def _folded(text: Column, cfg: EpisodeConfig) -> Column:

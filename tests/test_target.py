@@ -307,3 +307,21 @@ def test_procedure_texts_are_distinct_and_ordered(spark, make):
     )
     found = {r[S.ID]: r["procedure_text"] for r in procedure_texts(raw_procedure_rows(raw)).collect()}
     assert found == {"a": "A | B", "b": None}
+
+
+def test_a_group_of_very_many_procedures_is_joined_in_chunks(spark):
+    """A third of the rows share one subject without a time; each text occurs twice."""
+    hot = spark.range(60_000).select(
+        F.lit("hot").alias(S.ID), F.lit(None).cast("timestamp_ntz").alias(S.ADMISSION), F.md5((F.col("id") % 30_000).cast("string")).alias("procedure")
+    )
+    other = spark.range(90_000).select(
+        (F.col("id") % 4_000).cast("string").alias(S.ID), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias(S.ADMISSION),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("p"), F.col("id") % 7)).alias("procedure"),
+    )
+    rows = hot.union(other)
+    assert rows.filter("procedure IS NOT NULL").count() > 100_000
+    found = {r[S.ID]: r["procedure_text"] for r in procedure_texts(rows, heavy_texts=20_000, texts_per_chunk=2_000).collect()}
+    plain = {r[S.ID]: r["procedure_text"] for r in procedure_texts(rows, heavy_texts=10**9).collect()}
+    assert found == plain and len(found) == 4_001
+    texts = found["hot"].split(" | ")
+    assert len(texts) == 30_000 and texts == sorted(set(texts))
