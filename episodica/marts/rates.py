@@ -8,7 +8,6 @@ from pyspark.sql.types import StringType
 from episodica import schema as S
 from episodica.functions import vocabulary as V
 from episodica.functions.numeric import percent
-from episodica.marts.filters import FilterSpec, apply_filters
 from episodica.operators.reports import count_by, top_k
 from episodica.sources.contracts import require_columns
 
@@ -211,18 +210,3 @@ def hospital_specialty_heatmap(df: DataFrame, min_episodes: int = 100, top: int
     rates = hospital_specialty_rates(df, min_episodes, top)
     specialties = sorted(r[0] for r in rates.select("especialidade").distinct().limit(top).collect())
     return rates.groupBy("executante").pivot("especialidade", specialties or None).agg(F.max("rate")).orderBy("executante")
-
-
-def filtered_marts(features: DataFrame, spec: FilterSpec = FilterSpec()) -> dict[str, DataFrame]:
-    """The marts over the rows that meet the filters; ``min_episodes`` and ``top_n`` of the filters drive them."""
-    rows = apply_filters(features, spec)
-    return {
-        "kpis": kpis(rows),
-        "specialty_rate": specialty_rate(rows, spec.min_episodes, spec.top_n),
-        "hospital_rate": hospital_rate(rows, spec.min_episodes, spec.top_n),
-        "discharge_reason_rate": discharge_reason_rate(rows, spec.min_episodes),
-        "hospital_specialty_rates": hospital_specialty_rates(rows, spec.min_episodes),
-        "top_icd": top_icd(rows, spec.top_n),
-        "monthly_trend": monthly_trend(rows),
-        "quarterly_trend": quarterly_trend(rows),
-    }

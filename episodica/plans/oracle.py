@@ -399,6 +399,32 @@ def _sample_sql(n: int) -> str:
     return " UNION ALL ".join(parts)
 
 
+# Groupings of the rate cube and its keys in order.
+_GROUPINGS = {
+    "all": (), "specialty": ("especialidade",), "hospital": ("executante",), "reason": ("motivoalta",),
+    "pair": ("executante", "especialidade"), "icd": ("codigocid",), "month": ("admission_month",),
+    "quarter": ("admission_year", "admission_quarter"), "history": ("previous_hospitalizations",),
+}
+_CUBE_KEYS = (
+    "especialidade", "executante", "motivoalta", "codigocid", "admission_month", "admission_year", "admission_quarter",
+    "previous_hospitalizations",
+)
+
+
+def _cube_sql() -> str:
+    parts = []
+    for name, keys in _GROUPINGS.items():
+        texts = {k: f"strftime({k}, '%Y-%m-%d')" if k == "admission_month" else f"{k}::VARCHAR" for k in keys}
+        text = " || '|' || ".join(f"coalesce({texts[k]}, '')" if k in keys else "''" for k in _CUBE_KEYS)
+        means = ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in ("length_of_stay_days", "previous_hospitalizations", "admissions_last_365d"))
+        group = f"GROUP BY {', '.join(keys)}" if keys else ""
+        parts.append(
+            f"SELECT '{name}' AS grouping, {text} AS keys, count(*) AS episodes, sum(unplanned_readmitted_30d)::BIGINT AS readmissions, "
+            f"{means} FROM features {group}"
+        )
+    return " UNION ALL ".join(parts)
+
+
 _SQL: dict[str, str] = {
     # sources and catalog
     "ingest_csv": f"""SELECT identificador, datasolicitacao::VARCHAR AS datasolicitacao,
@@ -663,6 +689,7 @@ _SQL: dict[str, str] = {
     "aud_history_histogram": """SELECT previous_hospitalizations, count(*) AS episodes FROM features
         GROUP BY 1 ORDER BY 1 LIMIT 20""",
     # marts
+    "rate_cube": _cube_sql(),
     "clean_features": "SELECT * FROM features",
     "overall_rate": "SELECT coalesce(avg(unplanned_readmitted_30d) * 100, 0) AS overall_rate FROM features",
     "kpis": """SELECT count(*) AS total_episodes, sum(unplanned_readmitted_30d)::BIGINT AS unplanned_readmissions,

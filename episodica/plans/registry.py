@@ -11,7 +11,7 @@ from episodica.audits import closure, dates, episodes as ep, overlaps, planning
 from episodica.functions import vocabulary as V
 from episodica.functions.temporal import days_between, month_start, parse_day_first, weekday_sunday0
 from episodica.functions.buckets import stay_bucket
-from episodica.marts import filters, rates
+from episodica.marts import cube, filters, rates
 from episodica.operators import features as feat, reports, signals, target as tgt
 from episodica.operators.episodes import collapse_episodes, parse_discharge, with_admission_time
 from episodica.operators.heavy import HeavyKeys, find_heavy_keys
@@ -267,7 +267,16 @@ AUDITS: dict[str, Query] = {
     "aud_history_histogram": lambda w: ep.history_histogram(w.features),
 }
 
+def _cube_rows(w: Workspace) -> DataFrame:
+    """Every group of the cube, its keys as one text."""
+    keys = [F.date_format(k, "yyyy-MM-dd") if k == "admission_month" else F.col(k).cast("string") for k in cube.KEYS]
+    text = F.concat_ws("|", *[F.coalesce(k, F.lit("")) for k in keys])
+    means = [F.round(F.col(f"sum_{m}") / F.nullif(F.col(f"n_{m}").cast("double"), F.lit(0.0)), 6).alias(f"mean_{m}") for m in cube.MEASURES]
+    return w.cube.groups.select("grouping", text.alias("keys"), "episodes", "readmissions", *means)
+
+
 MARTS: dict[str, Query] = {
+    "rate_cube": _cube_rows,
     "clean_features": lambda w: w.clean,
     "overall_rate": lambda w: rates.overall_rate(w.clean),
     "kpis": lambda w: rates.kpis(w.clean),
@@ -287,7 +296,7 @@ MARTS: dict[str, Query] = {
     "discharge_reason_rate": lambda w: rates.discharge_reason_rate(w.clean, MIN_EPISODES),
     "discharge_reason_counts": lambda w: rates.discharge_reason_counts(w.clean),
     "hospital_specialty_rates": lambda w: rates.hospital_specialty_rates(w.clean, HEATMAP_MIN_EPISODES),
-    "hospital_specialty_heatmap": lambda w: rates.hospital_specialty_heatmap(w.clean, HEATMAP_MIN_EPISODES),
+    "hospital_specialty_heatmap": lambda w: w.cube.heatmap(HEATMAP_MIN_EPISODES),
     "rate_by_history": lambda w: rates.rate_by_history(w.clean),
 }
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from episodica import schema as S
 from episodica.marts.clean import clean_features
+from episodica.marts.cube import filtered_marts
 from episodica.marts.filters import FilterSpec
-from episodica.marts.rates import filtered_marts
 from episodica.operators.heavy import HeavyKeys, find_heavy_keys
 from episodica.plans.registry import AUDITS
 from episodica.schema import EpisodeConfig

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from episodica import schema as S
 from episodica.marts.clean import clean_features
+from episodica.marts.cube import Cube, rate_cube
 from episodica.operators.episodes import clean_episodes, collapse_episodes
 from episodica.operators.features import build_features, history_timeline
 from episodica.operators.heavy import HeavyKeys, find_heavy_keys
@@ -79,6 +80,10 @@ class Workspace:
     def clean(self) -> DataFrame:
         return clean_features(self.features)
 
+    @property
+    def cube(self) -> Cube:
+        return Cube(self.store.get("cube", lambda: rate_cube(self.clean)))
+
 
 _open: dict[tuple[str, str], Workspace] = {}
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from episodica import schema as S
 from episodica.audits import closure, episodes as ep, planning
-from episodica.marts import filters, rates
+from episodica.marts import cube, filters, rates
 from episodica.marts.clean import clean_features
 from episodica.marts.filters import FilterSpec
 from episodica.operators import reports
@@ -199,3 +199,35 @@ def test_closures(spark, make):
     raw = make.raw({S.ID: "a", "motivoalta": "Encerramento administrativo", "situacao": "X"}, {S.ID: "b", "motivoalta": "Alta"})
     assert [tuple(r) for r in closure.closure_status(raw).collect()] == [("Encerramento administrativo", "X", 1)]
     assert closure.closure_sample(raw).count() == 1
+
+
+def test_marts_from_the_cube_equal_those_from_rows(spark):
+    rows = [
+        {
+            S.ID: f"p{i % 9}", "executante": [None, "H1", "H2", "H3"][i % 4], "especialidade": [None, "Não informado", "E1", "E2", "E3"][i % 5],
+            "motivoalta": [None, "Alta", "Óbito"][i % 3], "codigocid": [None, "I21", "J15"][(i // 2) % 3], S.LABEL: int(i % 7 == 0),
+            "admission_month": dt.datetime(2024, 1 + i % 3, 1) if i % 11 else None, "admission_year": 2024 if i % 6 else None,
+            "admission_quarter": 1 + i % 2, "length_of_stay_days": i % 13 if i % 10 else None, "previous_hospitalizations": i % 4,
+            "admissions_last_365d": i % 3,
+        }
+        for i in range(240)
+    ]
+    df = feature_table(spark, *rows)
+    made = cube.Cube.of(df)
+
+    def same(a, b):
+        assert a.columns == b.columns and [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()]
+
+    same(made.kpis(), rates.kpis(df))
+    same(made.top_rates("specialty", 5, 3), rates.specialty_rate(df, 5, 3))
+    same(made.top_rates("hospital", 5, 3), rates.hospital_rate(df, 5, 3))
+    same(made.reason_rates(5), rates.discharge_reason_rate(df, 5))
+    same(made.monthly_trend(), rates.monthly_trend(df))
+    same(made.quarterly_trend(), rates.quarterly_trend(df))
+    same(made.top_icd(2), rates.top_icd(df, 2))
+    same(made.heatmap(3, 2), rates.hospital_specialty_heatmap(df, 3, 2))
+    assert sorted(map(tuple, made.hospital_specialty_rates(3).collect())) == sorted(map(tuple, rates.hospital_specialty_rates(df, 3).collect()))
+    plan = cube.rate_cube(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") + plan.count("LogicalRDD") == 1 and plan.count("Expand") == 1
+    empty = cube.filtered_marts(df.filter("false"))
+    assert empty["kpis"].head()["total_episodes"] == 0 and empty["top_icd"].count() == 0
