@@ -16,7 +16,8 @@ from episodica.operators.heavy import HeavyKeys, find_heavy_keys
 from episodica.plans.registry import AUDITS
 from episodica.schema import EpisodeConfig
 from episodica.sources import catalog
-from episodica.sources.extracts import path_exists, require_path, write_report
+from episodica.sources.extracts import write_report
+from episodica.sources.versions import open_tables
 
 log = logging.getLogger(__name__)
 
@@ -26,14 +27,15 @@ class BuiltFolder:
 
     def __init__(self, spark: SparkSession, folder: str, cfg: EpisodeConfig = EpisodeConfig()) -> None:
         self.spark, self.cfg = spark, cfg
-        self.folder = require_path(spark, folder.rstrip("/"))
+        # All tables come from the version that is current now.
+        self._tables = open_tables(spark, folder)
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(require_path(self.spark, f"{self.folder}/{name}"))
+        return self._tables.table(name)
 
     @property
     def extracts(self) -> dict[str, DataFrame]:
-        names = [n for n in S.RAW_SCHEMAS if path_exists(self.spark, f"{self.folder}/raw/{n}")]
+        names = [n for n in S.RAW_SCHEMAS if self._tables.has(f"raw/{n}")]
         return {n: self._table(f"raw/{n}") for n in names}
 
     @property

@@ -9,7 +9,8 @@ from episodica import schema as S
 from episodica.functions import vocabulary as V
 from episodica.operators.episodes import collapse_episodes
 from episodica.operators.signals import billing_time, unparsed_billing_times
-from episodica.plans.build import build_from_csv
+from episodica.plans import build
+from episodica.plans.build import build_from_csv, build_from_tables
 from episodica.plans.report import write_reports
 from episodica.sources import catalog, sketches
 from episodica.sources.contracts import missing_columns, optional_columns, require_columns
@@ -27,6 +28,7 @@ from episodica.sources.extracts import (
     write_tables,
 )
 from episodica.sources.stages import StageStore, stage_root
+from episodica.sources.versions import VersionedTables, open_tables
 
 
 def csv_file(folder, text, name="t.csv"):
@@ -153,7 +155,7 @@ def test_the_build_needs_no_separator(spark, tmp_path, seps):
     csv_file(tmp_path, f"identificador{seps[2]}other\np{seps[2]}1\n", V.EXTRACT_FILES["requests"])
     built = build_from_csv(spark, str(tmp_path), str(tmp_path / "out"))
     assert [tuple(r) for r in built.features.select(S.LABEL, "length_of_stay_days").collect()] == [(1, 1)]
-    types = {(r["table_name"], r["column_name"]): r["kind"] for r in spark.read.parquet(str(tmp_path / "out/types")).collect()}
+    types = {(r["table_name"], r["column_name"]): r["kind"] for r in open_tables(spark, str(tmp_path / "out")).table("types").collect()}
     assert types["requests", "other"] == "bigint" and types["hospitalizations", S.ADMISSION_TEXT] == "timestamp_ntz"
 
 
@@ -199,8 +201,8 @@ def test_build_from_csv(spark, tmp_path):
     assert set(built.raw) == {"hospitalizations", "billing", "requests"}
     assert built.raw["hospitalizations"].count() == 2
     assert [tuple(r) for r in built.features.select(S.LABEL, "length_of_stay_days").collect()] == [(1, 1)]
-    assert spark.read.parquet(str(tmp_path / "out/hospitalization_target")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "out/quarantine/hospitalizations")).collect()[0][0] == "short,row"
+    assert open_tables(spark, str(tmp_path / "out")).table("hospitalization_target").count() == 2
+    assert open_tables(spark, str(tmp_path / "out")).table("quarantine/hospitalizations").collect()[0][0] == "short,row"
     names = ["aud_episode_counts", "aud_closure_dates", "data_catalog", "mart_kpis"]
     assert write_reports(spark, str(tmp_path / "out"), str(tmp_path / "reports"), names) == names
     back = spark.read.csv(str(tmp_path / "reports/data_catalog"), header=True)
@@ -209,7 +211,7 @@ def test_build_from_csv(spark, tmp_path):
         write_reports(spark, str(tmp_path / "nothing"), str(tmp_path / "reports"))
     # A second run replaces the tables.
     build_from_csv(spark, str(tmp_path), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/ml_features")).count() == 1
+    assert open_tables(spark, str(tmp_path / "out")).table("ml_features").count() == 1
 
 
 def test_build_needs_both_tables(spark, tmp_path):
@@ -259,6 +261,31 @@ def test_column_statistics(spark):
         assert found == {"a": ("a", "int", 4, 1, 2), "b": ("b", "string", 4, 2, 1)}
 
 
+def test_a_build_that_fails_leaves_the_tables_before(spark, make, tmp_path, monkeypatch):
+    def rows(n):
+        return make.raw(*[{S.ID: f"p{i}", S.ADMISSION_TEXT: "01/01/2024 10:00:00", S.DISCHARGE_TEXT: "02/01/2024 10:00:00", "motivoalta": "Alta"} for i in range(n)])
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    out = str(tmp_path / "out")
+    build_from_tables(spark, rows(2), make.billing(), out)
+    opened = open_tables(spark, out)
+    with monkeypatch.context() as patch:
+        patch.setattr(build, "build_target", killed)
+        with pytest.raises(RuntimeError, match="killed"):
+            build_from_tables(spark, rows(3), make.billing(), out)
+    again = open_tables(spark, out)
+    assert again == opened and again.table("hospitalization_target").count() == 2 and again.table("ml_features").count() == 2
+    build_from_tables(spark, rows(4), make.billing(), out)
+    assert opened.table("ml_features").count() == 2 and open_tables(spark, out).table("ml_features").count() == 4
+    # The folder of the failed build goes, the last two versions stay.
+    assert len(VersionedTables(spark, out).prune(keep=2)) == 1 and opened.table("ml_features").count() == 2
+    assert len(VersionedTables(spark, out).prune(keep=1)) == 1 and open_tables(spark, out).number == 2
+    with pytest.raises(FileNotFoundError):
+        opened.table("ml_features")
+
+
 def test_key_overlap_equals_sets(spark):
     held = {"x": ["1", "1", "2", None], "y": ["2", "3"], "z": ["2", "1", None]}
     tables = {n: spark.createDataFrame([(k,) for k in ks], f"{S.ID} string") for n, ks in held.items()}
