@@ -23,7 +23,7 @@ Query = Callable[[Workspace], DataFrame]
 
 # Subjects above this many rows go through the sliced path in the *_split queries.
 SPLIT_ROWS = 9
-SPLIT_SLICE = 2_000
+SPLIT_SLICE = 50_000
 # Report thresholds: smaller than the defaults, so that small inputs fill the tables.
 MIN_EPISODES = 20
 HEATMAP_MIN_EPISODES = 1

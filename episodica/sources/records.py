@@ -13,9 +13,12 @@ is a character, as in the rows that Spark's own reader makes of whole files.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
 
+from episodica.sources.stages import stage_root
+
 _SPLIT = ["file", "at"]
 
 
@@ -50,46 +53,62 @@ def _composed(rows: DataFrame, along: WindowSpec) -> DataFrame:
     return rows.withColumn("ends", F.struct(*ends)).drop("__flips", "__set")
 
 
-def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """One column ``record``: every record of every file but the header, its own line breaks kept."""
+def _placed_lines(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """Every line with what its split knows of it, for either state (o, i) in which the split may begin.
+
+    Columns: file, at (where the split begins), n (number of the line in it), value, and structs over o and i: before
+    (state before the line), ends (state after it) and start (number of the last line so far that begins a record). One
+    exchange, one sort; the lines are stored, as all further steps read them.
+    """
     scanned = spark.read.option("lineSep", "\n").text(path)
     lines = scanned.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("at"),
+        # Only its order within a split counts, which does not depend on the task that read it.
         F.monotonically_increasing_id().alias("__row"),
         "value",
         F.inline(F.array(line_states(F.col("value"), sep))),
     )
-    along = Window.partitionBy(*_SPLIT).orderBy("n")
-    # The number within the split is a function of the file, whatever task read it.
-    lines = _composed(lines.withColumn("n", F.row_number().over(Window.partitionBy(*_SPLIT).orderBy("__row"))), along)
+    along = Window.partitionBy(*_SPLIT).orderBy("__row")
+    lines = _composed(lines, along)
+    outside = F.struct(F.lit(False).alias("o"), F.lit(True).alias("i"))
+    lines = lines.withColumn("before", F.coalesce(F.lag("ends").over(along), outside)).withColumn("n", F.row_number().over(along))
+    up_to = along.rowsBetween(Window.unboundedPreceding, 0)
+    starts = [F.max(F.when(~F.col(f"before.{s}"), F.col("n"))).over(up_to).alias(s) for s in ("o", "i")]
+    placed = lines.select(*_SPLIT, "n", "value", "before", "ends", F.struct(*starts).alias("start"))
+    folder = f"{stage_root(spark)}/lines/{uuid.uuid4().hex}"
+    placed.write.parquet(folder)
+    return spark.read.schema(placed.schema).parquet(folder)
 
-    splits = lines.groupBy(*_SPLIT).agg(F.max_by("ends", "n").alias("whole"))
+
+def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """One column ``record``: every record of every file but the header, its own line breaks kept."""
+    lines = _placed_lines(spark, path, sep)
     in_file = Window.partitionBy("file").orderBy("at")
-    splits = _composed(splits.select(*_SPLIT, "whole.*"), in_file)
-    begins = splits.select(*_SPLIT, F.coalesce(F.lag("ends.o").over(in_file), F.lit(False)).alias("inside"))
-
-    before = F.lag("ends").over(along)
-    placed = lines.withColumn("before", F.coalesce(before, F.struct(F.lit(False).alias("o"), F.lit(True).alias("i"))))
-    placed = placed.join(begins, _SPLIT).select(
-        *_SPLIT, "n", "value",
-        F.when(F.col("inside"), F.col("before.i")).otherwise(F.col("before.o")).alias("goes_on"),
-        F.when(F.col("inside"), F.col("ends.i")).otherwise(F.col("ends.o")).alias("open"),
-    )
-    start = F.when(~F.col("goes_on"), F.struct("at", "n"))
-    starts = placed.groupBy(*_SPLIT).agg(F.max(start).alias("last"))
+    splits = lines.groupBy(*_SPLIT).agg(F.max_by("ends", "n").alias("whole"), F.max("start.o").alias("so"), F.max("start.i").alias("si"))
+    splits = _composed(splits.select(*_SPLIT, "so", "si", "whole.*"), in_file)
+    splits = splits.withColumn("inside", F.coalesce(F.lag("ends.o").over(in_file), F.lit(False)))
+    last = F.when(F.col("inside"), F.col("si")).otherwise(F.col("so"))
+    # The record that goes on at the start of a split began in one before it.
     earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select(*_SPLIT, F.max("last").over(earlier).alias("carried"))
+    carried = F.max(F.when(last.isNotNull(), F.struct("at", last.alias("n")))).over(earlier)
+    splits = splits.select(*_SPLIT, "inside", carried.alias("carried"))
 
+    def known(name: str) -> Column:
+        return F.when(F.col("inside"), F.col(f"{name}.i")).otherwise(F.col(f"{name}.o"))
+
+    placed = lines.join(splits, _SPLIT).select(
+        "file", "at", "n", "value", known("before").alias("goes_on"), known("ends").alias("open"), known("start").alias("start"), "carried"
+    )
+    began = F.when(F.col("start").isNotNull(), F.struct("at", F.col("start").alias("n"))).otherwise(F.col("carried"))
     header = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(1).alias("n"))
-    here = F.struct("at", "n")
-    single = placed.filter(~F.col("goes_on") & ~F.col("open") & (here != header)).select(F.col("value").alias("record"))
-    within = F.max(start).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    parts = placed.withColumn("within", within).filter(F.col("goes_on") | F.col("open")).join(starts, _SPLIT)
-    parts = parts.select("file", F.coalesce("within", "carried").alias("record_at"), "at", "n", "value")
+    several = F.col("goes_on") | F.col("open")
+    single = placed.filter(~several & (F.struct("at", "n") != header)).select(F.col("value").alias("record"))
     joined = (
-        parts.filter(F.col("record_at") != header)
-        .groupBy("file", "record_at")
+        placed.filter(several)
+        .select("file", began.alias("began"), "at", "n", "value")
+        .filter(F.col("began") != header)
+        .groupBy("file", "began")
         .agg(F.array_sort(F.collect_list(F.struct("at", "n", "value"))).alias("parts"))
         .select(F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("record"))
     )
