@@ -62,9 +62,14 @@ class Shared:
     """A broadcast value with a key, under which workers keep what they make of it."""
 
     def __init__(self, spark: SparkSession, value) -> None:
+        ship_code(spark)
         self._broadcast = spark.sparkContext.broadcast(value)
         self.id = uuid.uuid4().hex
 
+    def release(self) -> None:
+        """Give the memory of the executors back; the value is sent again if a task still asks for it."""
+        self._broadcast.unpersist()
+
     @property
     def value(self):
         return self._broadcast.value
@@ -96,6 +101,7 @@ class Scratch:
     """Tables of one run in the shared folder: each cuts the lineage, so a lost executor costs one step."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        ship_code(spark)  # operators that keep tables start workers too
         self.spark = spark
         self.folder = f"{stage_root(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0

@@ -8,8 +8,9 @@ joined for larger classes, so each class costs half of the one before. A stretch
 value) pair are a candidate; with ``COORDINATES`` of them a stretch at the lowest such similarity is missed with a
 probability of about 1e-6. Candidates are confirmed by counting the item's distinct shingles in the whole document.
 
-Documents are never shuffled. Items come in blocks of a bounded number of rows and bytes; each block is read to the driver
-and sent to the executors, and every block meets all documents, so a large benchmark takes more passes, not more memory.
+Documents are never shuffled. Tasks make the shingles and minima of the items and store them. They come in blocks of a
+bounded number of items and shingles; each block passes the driver on its way to the executors, meets all documents, and
+is released before the next, so a large benchmark takes more passes, not more memory.
 
 * null and empty items match nothing; null and empty documents have no match
 * texts with fewer words than a shingle are one shingle: such an item is found in documents that are equal to it in words
@@ -27,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from episodica.llm import kernels as K
+from episodica.llm.common import Scratch, Shared
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 COORDINATES = 64
 #: Bound of the smallest size class. Blocks are as small as the smallest class that has items.
 SMALLEST = 2
-#: Items of one pass over the documents, in rows and bytes of text.
-ITEMS_PER_PASS, BYTES_PER_PASS = 20_000, 32 << 20
+#: Items of one pass over the documents, and their shingles.
+ITEMS_PER_PASS, SHINGLES_PER_PASS = 20_000, 4_000_000
 
 _random = np.random.Generator(np.random.Philox(11))
 _A, _B = (_random.integers(0, 2**32, size=(COORDINATES, 1), dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -50,10 +52,11 @@ def coordinate_values(shingles: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """The items of one pass: ids, sorted distinct shingles of each, and by size class their minima in one sorted array."""
+    """The items of one pass: ids, sorted distinct shingles and minima of each, and by size class the minima in one sorted array."""
 
     ids: list[int | None]
     sets: list[np.ndarray]
+    minima: list[np.ndarray]
 
     def __post_init__(self) -> None:
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -65,7 +68,7 @@ class Items:
                     bound *= 2
                 by_bound.setdefault(bound, []).append(i)
         for bound, members in sorted(by_bound.items()):
-            keys = np.concatenate([_keys(coordinate_values(self.sets[i]).min(axis=1)) for i in members])
+            keys = np.concatenate([_keys(self.minima[i]) for i in members])
             owner = np.repeat(np.array(members), COORDINATES)
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
@@ -134,23 +137,38 @@ def _word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         yield low, *K.shingles(words.hashes(fold_ascii=True), words.offsets, SHINGLE_WORDS)
 
 
-def _items(rows) -> Items:
-    texts = pa.array([r.text for r in rows], pa.string())
-    sets = [np.unique(h[b[i] : b[i + 1]]) for _, h, b in _word_hashes(texts) for i in range(len(b) - 1)]
-    return Items([r.item_id for r in rows], sets)
+_SHINGLED = pa.schema([("item_id", pa.int64()), ("shingles", pa.list_(pa.int64())), ("minima", pa.list_(pa.int64()))])
 
 
-def item_passes(benchmark: DataFrame) -> Iterator[Items]:
-    """The items in blocks of a bounded size; only one block is on the driver at a time."""
-    rows, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").toLocalIterator():
-        rows.append(row)
-        size += len(row.text)
-        if len(rows) >= ITEMS_PER_PASS or size >= BYTES_PER_PASS:
-            yield _items(rows)
-            rows, size = [], 0
-    if rows:
-        yield _items(rows)
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct shingle hashes of each item, and their minimum under each coordinate."""
+    for batch in batches:
+        for low, h, b in _word_hashes(batch.column("text")):
+            n = len(b) - 1
+            sets = [np.unique(h[b[i] : b[i + 1]]) for i in range(n)]
+            minima = [coordinate_values(s).min(axis=1).astype(np.int64) if len(s) else [] for s in sets]
+            columns = [pa.array(c, pa.list_(pa.int64())) for c in ([s.view(np.int64) for s in sets], minima)]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(low, n), *columns], schema=_SHINGLED)
+
+
+def item_passes(spark: SparkSession, benchmark: DataFrame) -> Iterator[Items]:
+    """Blocks of a bounded number of items and shingles.
+
+    Tasks make shingles and minima and store them; the driver reads finished hashes and holds two blocks at most.
+    """
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
+    shingled = Scratch(spark, "items").table(named.mapInArrow(_shingled, "item_id long, shingles array<long>, minima array<long>"))
+    ids, sets, minima, size = [], [], [], 0
+    for row in shingled.toLocalIterator():
+        ids.append(row.item_id)
+        sets.append(np.array(row.shingles, np.int64).view(np.uint64))
+        minima.append(np.array(row.minima, np.uint32))
+        size += len(row.shingles)
+        if len(ids) >= ITEMS_PER_PASS or size >= SHINGLES_PER_PASS:
+            yield Items(ids, sets, minima)
+            ids, sets, minima, size = [], [], [], 0
+    if ids:
+        yield Items(ids, sets, minima)
 
 
 def matches(items: Items, texts: pa.Array, percent: int) -> Iterator[tuple[int, int, int]]:
@@ -171,16 +189,16 @@ _RESULT = pa.schema(
 
 def contaminated_pairs(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, item_id, n_item_shingles, n_shared) for every document that holds an item."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, scratch = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Scratch(spark, "leaks")
     result = spark.createDataFrame([], "doc_id long, item_id long, n_item_shingles long, n_shared long")
-    for items in item_passes(benchmark):
-        sent = spark.sparkContext.broadcast(items)
+    for items in item_passes(spark, benchmark):
+        sent = Shared(spark, items)
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known = sent.value
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
-                hits = list(matches(sent.value, batch.column("text"), percent))
-                known = sent.value
+                hits = list(matches(known, batch.column("text"), percent))
                 columns = [
                     [ids[r] for r, _, _ in hits],
                     [known.ids[i] for _, i, _ in hits],
@@ -189,20 +207,29 @@ def contaminated_pairs(spark: SparkSession, docs: DataFrame, benchmark: DataFram
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_RESULT)
 
-        result = result.union(rows.mapInArrow(find, result.schema))
+        # The rows of a block are stored, so its broadcast can go before the next one comes.
+        result = result.union(scratch.table(rows.mapInArrow(find, result.schema)))
+        sent.release()
     return result
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    for items in item_passes(benchmark):
-        sent = spark.sparkContext.broadcast(items)
+    scratch, passes = Scratch(spark, "clean"), item_passes(spark, benchmark)
+    items = next(passes, None)
+    while items is not None:
+        sent = Shared(spark, items)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known = sent.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
-                clean[[r for r, _, _ in matches(sent.value, batch.column("text"), percent)]] = False
+                clean[[r for r, _, _ in matches(known, batch.column("text"), percent)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs, items = docs.mapInArrow(keep, docs.schema), next(passes, None)
+        if items is not None:
+            # What a block leaves is stored, so its broadcast can go before the next one comes.
+            docs = scratch.table(docs)
+            sent.release()
     return docs

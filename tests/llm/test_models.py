@@ -97,10 +97,16 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert decontaminate.contaminated_pairs(spark, docs("x").filter("false"), benchmark).count() == 0
 
 
-def test_items_come_in_blocks(spark, monkeypatch):
+def test_items_come_in_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 2)
     benchmark = spark.createDataFrame([(i, f"item number {i} of some") for i in range(5)], "item_id long, text string")
-    assert [len(p.ids) for p in decontaminate.item_passes(benchmark)] == [2, 2, 1]
+    assert [len(p.ids) for p in decontaminate.item_passes(spark, benchmark)] == [2, 2, 1]
+    # A document longer than one piece of the text buffer, and one for each block.
+    long = " ".join(f"w{i}" for i in range(700_000)) + " item number 3 of some"
+    df = docs(*[f"so item number {i} of some" for i in range(5)], long, "none of these")
+    pairs = decontaminate.contaminated_pairs(spark, df, benchmark)
+    assert sorted((r.doc_id, r.item_id) for r in pairs.collect()) == [*((i, i) for i in range(5)), (5, 3)]
+    assert [r.doc_id for r in decontaminate.without_contaminated(spark, df, benchmark).collect()] == [6]
 
 
 def test_language_on_held_out_documents(spark, sf_dir):
