@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
 from episodica.llm import (
     bpe,
     byte_bpe,
@@ -118,7 +117,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op12_hard_negatives,
         op13_fill_in_middle,
     )
-    return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in made}
 
 
 EXACT_SQL = r"""
@@ -295,7 +294,7 @@ FROM cut
 
 
 def llm_oracles() -> dict[str, str]:
-    made = {
+    return {
         "op1_exact_dedup": EXACT_SQL,
         "op2_near_dedup": NEAR_SQL,
         "op3_suffix_dedup": SUFFIX_SQL,
@@ -305,4 +304,3 @@ def llm_oracles() -> dict[str, str]:
         "op12_hard_negatives": NEGATIVES_SQL,
         "op13_fill_in_middle": MIDDLE_SQL,
     }
-    return made if corpus_pipeline.ORACLE_SQL is None else made | {"pipeline": corpus_pipeline.ORACLE_SQL}
