@@ -53,7 +53,9 @@ def _ranked(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, long_words: int | None, scratch: Scratch) -> DataFrame:
     """Positions (at: did, rk, line) of lines that occur elsewhere too, with their rank and whether the line is long."""
-    lines = docs.select(*row_key(), F.posexplode(_lines(F.col("text"))).alias("line", "content"))
+    # The key is computed before the text is taken apart, or every line would carry the whole text along.
+    keyed = docs.select(*row_key(), _lines(F.col("text")).alias("lines"))
+    lines = keyed.select(*ROW_KEY, F.posexplode("lines").alias("line", "content"))
     sequence = scratch.table(
         lines.select(
             F.struct(*ROW_KEY, "line").alias("at"),
