@@ -37,6 +37,9 @@ from episodica.llm.common import ROW_KEY, Scratch, components, id_of, per_key, r
 COORDINATES = 64
 MATCHES = 36
 PREFIX = COORDINATES - MATCHES + 1
+#: Parts of the hash space in which a set and its hub count what they share: the upper bits of a shingle's hash.
+SPREAD_BITS = 6
+SPREAD = 1 << SPREAD_BITS
 
 _random = np.random.Generator(np.random.Philox(7))
 _A, _B = (_random.integers(0, 2**32, size=(COORDINATES, 1), dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -128,20 +131,22 @@ def _confirmed(percent: int):
 
 
 def _against_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The size of each set, of its hub's and of what they share, and the shingles that the hub does not have."""
+    """The size of each set, of its hub's and of what they share, in all and by part, and the shingles that the hub does not have."""
     for batch in batches:
-        sizes, hub_sizes, inside, outside = [], [], [], []
+        sizes, hub_sizes, inside, spread, outside = [], [], [], [], []
         for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
             x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
             other = np.setdiff1d(x, y, assume_unique=True)
             sizes.append(len(x))
             hub_sizes.append(len(y))
             inside.append(len(x) - len(other))
+            parts = [np.bincount((s >> np.uint64(64 - SPREAD_BITS)).astype(np.int64), minlength=SPREAD) for s in (x, other)]
+            spread.append(parts[0] - parts[1])
             outside.append(other.view(np.int64))
         columns = [pa.array(c, pa.int64()) for c in (sizes, hub_sizes, inside)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), *columns, pa.array(outside, pa.list_(pa.int64()))],
-            ["rep", "hub", "n", "n_hub", "inside", "outside"],
+            [batch.column("a"), batch.column("b"), *columns, pa.array(spread, pa.list_(pa.int32())), pa.array(outside, pa.list_(pa.int64()))],
+            ["rep", "hub", "n", "n_hub", "inside", "spread", "outside"],
         )
 
 
@@ -184,9 +189,9 @@ def hubs(entries: DataFrame) -> DataFrame:
 def unjoined_pairs(scratch: Scratch, entries: DataFrame, against: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All pairs of entries that share a list, are in different components and can be linked at all.
 
-    Two sets with one hub share at most what the one with less shares with the hub, and of the shingles that the hub does
-    not have, those that occur in a second set of the hub. Pairs below the needed size by that are left out; the bound is
-    exact. A pair comes from the first list that its ends share.
+    Two sets with one hub share in each part of the hash space at most what the one with less shares with the hub there, and
+    of the shingles that the hub does not have, those that occur in a second set of the hub. Pairs below the needed size
+    by that are left out; the bound is exact. A pair comes from the first list that its ends share.
     """
     labelled = entries.join(labels, entries.rep == labels.v, "left").select("token", "rep", F.coalesce("c", "rep").alias("comp"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
@@ -198,7 +203,7 @@ def unjoined_pairs(scratch: Scratch, entries: DataFrame, against: DataFrame, lab
     twice = strays.groupBy("hub", "shingle").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
     solid = strays.join(twice, ["hub", "shingle"]).groupBy("rep").agg(F.count(F.lit(1)).alias("beyond"))
     bounds = sizes.join(solid, "rep", "left").join(reps, "rep")
-    bounds = bounds.select("rep", "hub", "n", "inside", F.coalesce("beyond", F.lit(0)).alias("beyond"), "tokens")
+    bounds = bounds.select("rep", "hub", "n", "inside", "spread", F.coalesce("beyond", F.lit(0)).alias("beyond"), "tokens")
     rows = scratch.table(open_lists.join(bounds, "rep"))
 
     met = rows.alias("x").join(
@@ -208,6 +213,8 @@ def unjoined_pairs(scratch: Scratch, entries: DataFrame, against: DataFrame, lab
             AND (x.hub <> y.hub OR {100 + percent} * (least(x.inside, y.inside) + least(x.beyond, y.beyond)) >= {percent} * (x.n + y.n))
             AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
             AND x.token = array_min(array_intersect(x.tokens, y.tokens))
+            AND (x.hub <> y.hub OR {100 + percent} * (least(x.beyond, y.beyond)
+                + aggregate(zip_with(x.spread, y.spread, (p, q) -> least(p, q)), 0L, (s, v) -> s + v)) >= {percent} * (x.n + y.n))
         """),
     )
     return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
@@ -233,7 +240,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int =
 
     against = scratch.table(
         _with_both(hubs(entries), sets, "shingles", "set").mapInArrow(
-            _against_hub, "rep long, hub long, n long, n_hub long, inside long, outside array<long>"
+            _against_hub, "rep long, hub long, n long, n_hub long, inside long, spread array<int>, outside array<long>"
         )
     )
     linked = f"rep <> hub AND {100 + percent} * inside >= {percent} * (n + n_hub)"
