@@ -214,3 +214,16 @@ def test_edges(spark, docs, name):
     clash = {c: F.lit(1) for c in ("did", "rk", "rep", "norm", "at", "kept", "starts", "anchor", "component")}
     rows = run(spark, docs((None, text), (1, text), (1, text), (2, None), (3, ""), **clash)).collect()
     assert Counter(r.doc_id for r in rows) == {None: 1, 1: 2, 2: 1, 3: 1}
+
+
+def test_exact_dedup_runs_no_python_and_sorts(spark, docs):
+    plan = exact_dedup.exact_dedup(docs("a b", "ab", None))._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Python" not in plan
+    assert "SortAggregate" in plan and "rangepartitioning" in plan
+
+
+def test_lines_do_not_carry_their_text(spark, docs):
+    """Every line of a long text would otherwise hold a copy of it."""
+    long = "\n".join(f"line number {i} of a very long text with some words" for i in range(20_000))
+    got = by_id(line_dedup.line_dedup(spark, docs(long, long + "\nmore", "short")))
+    assert [(got[i].n_lines, got[i].n_removed) for i in range(3)] == [(20_000, 0), (20_001, 20_000), (1, 0)]

@@ -233,3 +233,38 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()) == sorted(
         r.doc_id for r in encoded.select("doc_id").collect()
     )
+
+
+@needs_vocabulary
+def test_codecs_on_empty_tables_and_repeated_rows(spark, docs):
+    df = docs((1, "the same text"), (1, "the same text"), (None, "another"), ids=F.lit("x"), n_bytes=F.lit("y"))
+    for made in (
+        bpe.encode(spark, df, vocabulary_file("word_bpe_49k.json")),
+        token_counts.token_counts(spark, df, vocabulary_file("byte_bpe_50k.tiktoken"), byte_pattern()),
+    ):
+        assert sorted(str(r.doc_id) for r in made.collect()) == ["1", "1", "None"]
+        assert made.filter("doc_id = 1").distinct().count() == 1
+    for encode in (bpe.encode, lambda *a: token_counts.token_counts(*a[:2], vocabulary_file("byte_bpe_50k.tiktoken"), byte_pattern())):
+        assert encode(spark, df.filter("false"), vocabulary_file("word_bpe_49k.json")).count() == 0
+
+
+def test_texts_beyond_one_piece_and_clashing_columns(spark, monkeypatch):
+    """A text longer than a piece scores as the sum of its pieces; columns named like results are not read."""
+    monkeypatch.setattr(language, "PIECE_LETTERS", 500)
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 40), "en") for i in range(60)] + [(100 + i, "żółć gęślą jaźń " * 12, "pl") for i in range(60)]
+    rows += [(500, "the of and to " * 2000, None), (501, "gęślą jaźń żółć " * 2000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("score", "held_out", "lang_pred", "entropy", "rejected", "toxic", "predicted", "calibrates", "rows"):
+        df = df.withColumn(name, F.lit("x"))
+    got = by_id(language.language_id(spark, df))
+    assert (got[500].lang_pred, got[501].lang_pred) == ("en", "pl") and len(got) == len(rows)
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _, _ in rows[:120]], "doc_id long, toxic int")
+    scored = by_id(toxicity.toxicity(spark, df, labels))
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored.values())
+
+
+def test_the_language_sample_moves_no_text(spark, sf_dir):
+    sample = language.training_sample(documents(spark, sf_dir), 50)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
