@@ -44,15 +44,20 @@ def parse_time(text: Column | str) -> Column:
     return F.coalesce(parse_day_first(text), F.trim(text).try_cast("timestamp_ntz"))
 
 
-def format_day_first(ts: Column | str) -> Column:
-    """TIMESTAMP_NTZ to ``dd/MM/yyyy HH:mm:ss`` text."""
-    iso = _col(ts).cast("string")
+def day_first(iso: Column | str) -> Column:
+    """ISO text of a time to ``dd/MM/yyyy HH:mm:ss`` text. Give a column: every use of an expression may compute it again."""
+    iso = _col(iso)
     return F.concat(
         F.substring(iso, 9, 2), F.lit("/"), F.substring(iso, 6, 2), F.lit("/"), F.substring(iso, 1, 4),
         F.lit(" "), F.substring(iso, 12, 8),
     )
 
 
+def format_day_first(ts: Column | str) -> Column:
+    """TIMESTAMP_NTZ to ``dd/MM/yyyy HH:mm:ss`` text."""
+    return day_first(_col(ts).cast("string"))
+
+
 def days_between(start: Column | str, end: Column | str) -> Column:
     """Midnights crossed from start to end, as bigint."""
     return F.date_diff(_col(end), _col(start)).cast("bigint")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from episodica import schema as S
 from episodica.functions import vocabulary as V
-from episodica.functions.temporal import add_years, format_day_first
+from episodica.functions.temporal import add_years, day_first
 
 # Fixed values of the derivation.
 CHARACTERS = ("URGENCIA", "Urgência", "ELETIVO", "EMERGENCIA", "TRANSFERENCIA", None)
@@ -48,48 +48,65 @@ def _base_time() -> Column:
     return add_years(date, 24) + F.make_dt_interval(F.lit(0), hours)
 
 
-def _admission_text(ts: Column) -> Column:
+def _shifted(ts: Column) -> tuple[Column, Column]:
+    """Whether a visit's admission year is typed wrongly, and the time as typed."""
+    key = F.col("o_orderkey")
+    by_20 = (key % 101 == 0) & (F.year(ts) == 2024)
+    by_10 = (key % 103 == 0) & (F.year(ts) == 2023)
+    return by_20 | by_10, F.when(by_20, add_years(ts, -20)).when(by_10, add_years(ts, -10)).otherwise(ts)
+
+
+def _admission_text(shifted: Column, iso: str) -> Column:
     key = F.col("o_orderkey")
     return (
         F.when(key % 50 == 0, V.ADMISSION_SENTINEL)
-        .when((key % 101 == 0) & (F.year(ts) == 2024), format_day_first(add_years(ts, -20)))
-        .when((key % 103 == 0) & (F.year(ts) == 2023), format_day_first(add_years(ts, -10)))
+        .when(shifted, day_first(iso))
         .when(key % 211 == 0, "INVALIDA")
-        .otherwise(format_day_first(ts))
+        .otherwise(day_first(iso))
     )
 
 
-def _discharge_text(ts: Column) -> Column:
+def _discharge_time(ts: Column) -> Column:
     part = F.col("l_partkey")
     stay = F.make_dt_interval((part % 13).cast("int"), (F.col("l_suppkey") % 24).cast("int"))
-    return (
-        F.when(part % 29 == 0, V.DISCHARGE_SENTINEL)
-        .when(part % 31 == 0, "")
-        .when(part % 997 == 0, format_day_first(ts + F.make_dt_interval(F.lit(400))))
-        .otherwise(format_day_first(ts + stay))
+    return F.when(part % 997 == 0, ts + F.make_dt_interval(F.lit(400))).otherwise(ts + stay)
+
+
+def _discharge_text(iso: str) -> Column:
+    part = F.col("l_partkey")
+    return F.when(part % 29 == 0, V.DISCHARGE_SENTINEL).when(part % 31 == 0, "").otherwise(day_first(iso))
+
+
+def _stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all rows of an order share, with its time as text, once per order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("residence"))
+    rows = (
+        orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, "c_nationkey")
+        .withColumn("ts0", _base_time())
     )
+    shifted, typed = _shifted(F.col("ts0"))
+    rows = rows.withColumns({"__shifted": shifted, "__typed": typed.cast("string")})
+    text = _admission_text(F.col("__shifted"), "__typed")
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus", "residence", "ts0", text.alias("admission"))
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw admission rows, one per lineitem."""
     key = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    nation = table(spark, sf_dir, "nation")
-    residence = table(spark, sf_dir, "customer").join(
-        nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("residence")), "c_nationkey"
-    )
-    provider = table(spark, sf_dir, "supplier").join(
-        nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("provider_city")),
-        "s_nationkey",
-    )
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("provider_city"))
     rows = (
+        # Lookups come first, while rows are slim, and one by one: the size of a join of two small tables is guessed as
+        # their product, which would move all rows.
         table(spark, sf_dir, "lineitem")
-        # The two large tables meet by shuffle at any size, which also spreads a small single-file input.
-        .join(orders.hint("merge"), F.col("l_orderkey") == key)
+        .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
         .join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(provider.select("s_suppkey", "s_name", "provider_city"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(residence.select("c_custkey", "residence"), F.col("o_custkey") == F.col("c_custkey"))
-        .withColumn("ts0", _base_time())
+        .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nation, "s_nationkey")
+        # The two large tables meet by shuffle at any size, which also spreads a small single-file input.
+        .join(_stays(spark, sf_dir).hint("merge"), F.col("l_orderkey") == key)
+        .withColumn("__discharge", _discharge_time(F.col("ts0")).cast("string"))
     )
     ts0 = F.col("ts0")
     reason = (
@@ -104,8 +121,8 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").cast("string").alias(S.ID),
         request.alias(S.REQUEST_DATE),
         (ts0 - F.make_dt_interval(F.col("l_linenumber").cast("int"))).alias("datahorasolicitacao"),
-        _admission_text(ts0).alias(S.ADMISSION_TEXT),
-        _discharge_text(ts0).alias(S.DISCHARGE_TEXT),
+        F.col("admission").alias(S.ADMISSION_TEXT),
+        _discharge_text("__discharge").alias(S.DISCHARGE_TEXT),
         F.col("o_orderstatus").alias("situacao"),
         _pick(SEXES, F.col("o_custkey") % 3).alias("sexo"),
         F.col("residence").alias("municipiosolicitante"),
