@@ -10,6 +10,7 @@ import pytest
 
 from episodica import schema as S
 from episodica.plans import visits as source
+from episodica.sources import stages
 
 
 def plan(df) -> str:
@@ -67,3 +68,9 @@ def test_visits_move_rows_once_when_lookups_are_small(spark, star):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert text.count("Exchange hashpartitioning") == 2 and text.count("SortMergeJoin") == 1
+
+
+def test_a_stage_file_holds_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "ROWS_PER_FILE", 10)
+    kept = stages.StageStore(spark, str(tmp_path)).get("numbers", lambda: spark.range(0, 95, 1, 1))
+    assert kept.count() == 95 and len(kept.inputFiles()) == 10
