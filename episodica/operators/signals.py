@@ -23,10 +23,12 @@ def raw_procedure_rows(raw: DataFrame, cfg: EpisodeConfig = EpisodeConfig()) ->
     """(subject, admission time, procedure) of raw rows.
 
     Episodes are the distinct (subject, admission text) pairs of the same raw
-    rows, so every row kept here has its episode and no join is needed.
+    rows, so every row kept here has its episode and no join is needed. Copies
+    meet first, so times and rule texts are read once per distinct row.
     """
     text = blank_to_null(F.col("procedimentosolicitado").cast("string"))
-    return with_admission_time(raw.filter(has_admission()), cfg).select(S.ID, S.ADMISSION, text.alias("procedure"))
+    rows = raw.filter(has_admission()).select(S.ID, S.ADMISSION_TEXT, text.alias("procedure")).distinct()
+    return with_admission_time(rows, cfg).select(S.ID, S.ADMISSION, "procedure")
 
 
 def billing_procedure_rows(billing: DataFrame) -> DataFrame:

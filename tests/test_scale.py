@@ -9,6 +9,7 @@ from contextlib import redirect_stdout
 import pytest
 
 from episodica import schema as S
+from episodica.operators.signals import raw_procedure_rows
 from episodica.plans import visits as source
 from episodica.sources import stages
 
@@ -74,3 +75,9 @@ def test_a_stage_file_holds_a_bounded_number_of_rows(spark, tmp_path, monkeypatc
     monkeypatch.setattr(stages, "ROWS_PER_FILE", 10)
     kept = stages.StageStore(spark, str(tmp_path)).get("numbers", lambda: spark.range(0, 95, 1, 1))
     assert kept.count() == 95 and len(kept.inputFiles()) == 10
+
+
+def test_copies_of_a_procedure_meet_before_times_are_read(make):
+    row = {S.ID: "a", S.ADMISSION_TEXT: "01/01/2024 00:00:00", "procedimentosolicitado": "SEPSE"}
+    found = raw_procedure_rows(make.raw(row, row, {**row, "procedimentosolicitado": None})).collect()
+    assert sorted((r["procedure"] or "") for r in found) == ["", "SEPSE"]
