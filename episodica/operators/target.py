@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from episodica import schema as S
 from episodica.functions.numeric import count_when, percent2
@@ -95,10 +95,10 @@ def build_target(
     verdict = unplanned(F.col("next_carater"), normalised_icd("next_codigocid"), cfg)
     label = F.when(is_candidate(cfg), verdict)
     if labels_by_key:
-        classified = base.filter(is_candidate(cfg)).select(
-            F.col(S.ID).alias("__id"), F.col(S.ADMISSION).alias("__at"), label.alias("__label")
-        )
-        base = base.join(classified, (F.col(S.ID) == F.col("__id")) & (F.col(S.ADMISSION) == F.col("__at")), "left")
+        # The candidates of a key give every episode of the key their labels, without a second computation of the base.
+        known = F.col(S.ID).isNotNull() & F.col(S.ADMISSION).isNotNull()
+        labels = F.collect_list(F.when(known, label)).over(Window.partitionBy(S.ID, S.ADMISSION))
+        base = base.withColumn("__labels", labels).withColumn("__label", F.explode_outer("__labels"))
         label = F.col("__label")
     else:
         # An episode without an admission time matches no label.

@@ -10,6 +10,7 @@ import pytest
 
 from episodica import schema as S
 from episodica.operators.signals import raw_procedure_rows
+from episodica.operators.target import build_target
 from episodica.plans import visits as source
 from episodica.sources import stages
 
@@ -81,3 +82,24 @@ def test_copies_of_a_procedure_meet_before_times_are_read(make):
     row = {S.ID: "a", S.ADMISSION_TEXT: "01/01/2024 00:00:00", "procedimentosolicitado": "SEPSE"}
     found = raw_procedure_rows(make.raw(row, row, {**row, "procedimentosolicitado": None})).collect()
     assert sorted((r["procedure"] or "") for r in found) == ["", "SEPSE"]
+
+
+def test_labels_by_key_compute_the_base_once(make):
+    episodes = make.episodes(("a", "2024-01-01", "2024-01-02"), ("a", "2024-01-08", None))
+    plans = [plan(build_target(episodes, make.raw(), make.billing(), labels_by_key=by_key)) for by_key in (False, True)]
+    assert plans[0].count("Join") == plans[1].count("Join")
+
+
+def test_labels_by_key_match_nothing_without_a_key(make):
+    episodes = make.episodes(
+        (None, "2024-01-01", "2024-01-02"), ("a", None, "2024-01-02"), ("a", "2024-01-08", None, {"carater": "URGENCIA"}),
+        ("b", "2024-01-01", "2024-01-02", {"text": "x"}), ("b", "2024-01-01", "2024-01-02", {"text": "y"}),
+        ("b", "2024-01-08", "2024-01-09", {"carater": "URGENCIA"}),
+    )
+    rows = build_target(episodes, make.raw(), make.billing(), labels_by_key=True).collect()
+    found = sorted((r[S.ID] or "", r[S.ADMISSION_TEXT], -1 if r[S.LABEL] is None else r[S.LABEL]) for r in rows)
+    # Two twins with two candidates of their key are four rows, as the invariants report.
+    assert found == [
+        ("", "2024-01-01", 0), ("a", "2024-01-08", -1), ("a", "none", 0), ("b", "2024-01-08", 0),
+        ("b", "x", 1), ("b", "x", 1), ("b", "y", 1), ("b", "y", 1),
+    ]
