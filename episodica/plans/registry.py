@@ -28,6 +28,9 @@ SPLIT_SLICE = 50_000
 MIN_EPISODES = 20
 HEATMAP_MIN_EPISODES = 1
 
+#: The extract of ingest_csv has at most so many rows in a file: about 60 MB of text.
+CSV_ROWS_PER_FILE = 200_000
+
 KEY = (S.ID, S.ADMISSION_TEXT)
 # Given tables whose columns describe_schema lists.
 DESCRIBED = (
@@ -46,8 +49,9 @@ def _ingest_csv(w: Workspace) -> DataFrame:
     # Texts that a careless reader cuts or drops: quotes, separator, line break, backslash, nothing.
     status = F.when(F.col("situacao") == "F", F.lit('say "hi", now\nline')).when(F.col("situacao") == "O", F.lit("a\\"))
     text = text.withColumn("situacao", status.otherwise(F.lit("")))
-    text.write.mode("overwrite").csv(
-        folder, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    # Compressed, as texts repeat; a compressed file is one split, so its rows are bounded.
+    text.write.mode("overwrite").option("maxRecordsPerFile", CSV_ROWS_PER_FILE).csv(
+        folder, header=True, quote='"', escape='"', compression="gzip", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
     spec = extracts.CsvSpec(folder, S.RAW_SCHEMAS["hospitalizations"])
     return extracts.ingest_csv(w.spark, {"hospitalizations": spec})["hospitalizations"]

@@ -77,7 +77,7 @@ def _placed_lines(spark: SparkSession, path: str, sep: str) -> DataFrame:
     starts = [F.max(F.when(~F.col(f"before.{s}"), F.col("n"))).over(up_to).alias(s) for s in ("o", "i")]
     placed = lines.select(*_SPLIT, "n", "value", "before", "ends", F.struct(*starts).alias("start"))
     folder = f"{stage_root(spark)}/lines/{uuid.uuid4().hex}"
-    placed.write.parquet(folder)
+    placed.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(placed.schema).parquet(folder)
 
 
@@ -97,7 +97,8 @@ def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
     def known(name: str) -> Column:
         return F.when(F.col("inside"), F.col(f"{name}.i")).otherwise(F.col(f"{name}.o"))
 
-    placed = lines.join(splits, _SPLIT).select(
+    # One small row per split, however long its lines: lines are not moved again for it.
+    placed = lines.join(F.broadcast(splits), _SPLIT).select(
         "file", "at", "n", "value", known("before").alias("goes_on"), known("ends").alias("open"), known("start").alias("start"), "carried"
     )
     began = F.when(F.col("start").isNotNull(), F.struct("at", F.col("start").alias("n"))).otherwise(F.col("carried"))

@@ -11,8 +11,10 @@ import pytest
 from episodica import schema as S
 from episodica.operators.signals import raw_procedure_rows
 from episodica.operators.target import build_target
-from episodica.plans import visits as source
+from episodica.plans import registry, visits as source
+from episodica.plans.workspace import Workspace
 from episodica.sources import stages
+from episodica.sources.records import records
 
 
 def plan(df) -> str:
@@ -103,3 +105,23 @@ def test_labels_by_key_match_nothing_without_a_key(make):
         ("", "2024-01-01", 0), ("a", "2024-01-08", -1), ("a", "none", 0), ("b", "2024-01-08", 0),
         ("b", "x", 1), ("b", "x", 1), ("b", "y", 1), ("b", "y", 1),
     ]
+
+
+def test_lines_are_not_moved_for_the_state_of_their_split(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,"a\nb"\n2,c\n')
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = records(spark, str(tmp_path), ",")
+        assert "SortMergeJoin" not in plan(found)
+        assert sorted(r[0] for r in found.collect()) == ['1,"a\nb"', "2,c"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_the_extract_of_ingest_csv_is_compressed_and_whole(spark, star):
+    w = Workspace(spark, star)
+    found = registry.REGISTRY["ingest_csv"](w)
+    files = [f for f in spark.read.text(f"{w.store.folder}/csv/hospitalizations").inputFiles()]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    assert found.count() == 7 and {r["situacao"] for r in found.collect()} == {'say "hi", now\nline', "a\\"}
