@@ -28,7 +28,7 @@ SPLIT_SLICE = 50_000
 MIN_EPISODES = 20
 HEATMAP_MIN_EPISODES = 1
 
-#: The extract of ingest_csv has at most so many rows in a file: about 60 MB of text.
+#: Extracts written as text have at most so many rows in a file: about 60 MB of text for the longest rows.
 CSV_ROWS_PER_FILE = 200_000
 
 KEY = (S.ID, S.ADMISSION_TEXT)
@@ -69,9 +69,11 @@ def _ingest_all(w: Workspace) -> DataFrame:
     folder = f"{w.store.folder}/csv/all"
     for (name, df), sep in zip(w.extracts.items(), (",", ";", "\t", "|", ",", ";"), strict=True):
         text = df.select(*[catalog.as_text(c, kind).alias(c) for c, kind in df.dtypes])
-        text.write.mode("overwrite").csv(
-            f"{folder}/{name}", header=True, sep=sep, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-        )
+        # Compressed, as texts repeat, at the level that costs the least time; a compressed file is one split.
+        text.write.mode("overwrite").option("maxRecordsPerFile", CSV_ROWS_PER_FILE).option("zlib.compress.level", "BEST_SPEED").csv(
+            f"{folder}/{name}", header=True, sep=sep, quote='"', escape='"', compression="gzip",
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
     specs = {name: extracts.CsvSpec(f"{folder}/{name}") for name in w.extracts}
     return catalog.data_catalog(extracts.ingest_csv(w.spark, specs)).drop("column_type")
 

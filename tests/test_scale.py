@@ -7,13 +7,14 @@ import io
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
 from episodica import schema as S
 from episodica.operators.signals import raw_procedure_rows
 from episodica.operators.target import build_target
 from episodica.plans import registry, visits as source
 from episodica.plans.workspace import Workspace
-from episodica.sources import stages
+from episodica.sources import catalog, stages
 from episodica.sources.records import records
 
 
@@ -125,3 +126,27 @@ def test_the_extract_of_ingest_csv_is_compressed_and_whole(spark, star):
     files = [f for f in spark.read.text(f"{w.store.folder}/csv/hospitalizations").inputFiles()]
     assert files and all(f.endswith(".csv.gz") for f in files)
     assert found.count() == 7 and {r["situacao"] for r in found.collect()} == {'say "hi", now\nline', "a\\"}
+
+
+def test_the_extracts_of_ingest_all_are_compressed_and_whole(spark, star, monkeypatch):
+    monkeypatch.setattr(registry, "CSV_ROWS_PER_FILE", 2)
+    day = dt.datetime(2024, 1, 1, 10)
+    props = ['{"k": 1, "l": 2}', 'two\nlines "x"', "a\tb;c|d", "a\\", "", None, " x "]
+    events = [(i, day, 7 if i else None, "view", i / 3, text) for i, text in enumerate(props)]
+    types = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(events, types).coalesce(1).write.parquet(f"{star}/events.parquet")
+    labels = [(1, 1, 0), (2, None, 1), (2, None, 1), (None, 0, None)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(f"{star}/labels.parquet")
+    w = Workspace(spark, star)
+    found = registry.REGISTRY["ingest_all"](w)
+    for name in w.extracts:
+        files = spark.read.text(f"{w.store.folder}/csv/all/{name}").inputFiles()
+        assert files and all(f.endswith(".csv.gz") for f in files)
+        # Rows, the header and the line break of one field.
+        assert all(spark.read.text(f).count() <= 4 for f in files)
+    texts = {
+        name: df.select(*[F.nullif(catalog.as_text(c, kind), F.lit("")).alias(c) for c, kind in df.dtypes])
+        for name, df in w.extracts.items()
+    }
+    expected = catalog.data_catalog(texts).drop("column_type")
+    assert found.columns == expected.columns and sorted(found.collect()) == sorted(expected.collect())
